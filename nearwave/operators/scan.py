@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from nearwave.functions.arrow import at_positions, flat_lists
 
 # A query set up to this size travels with the tasks; larger sets take the join path.
-MAX_QUERIES = 256
-MAX_POINTS_PER_QUERY = 32768
-# Points looked at before rows already too far away are dropped.
-POSITIONS_PER_STEP = 16
+MAX_QUERIES = 1024
+MAX_POINTS_PER_QUERY = 16384
+# Points looked at before rows already too far away are dropped: few at first, then more.
+FIRST_STEP = 4
+LARGEST_STEP = 64
 # Values per step of a kernel, so that its working set stays near the cache.
 VALUES_PER_STEP = 1 << 20
 
@@ -54,15 +55,19 @@ def bounded_queries(queries: DataFrame, max_queries: int = MAX_QUERIES) -> list[
     fits = F.size("q") <= MAX_POINTS_PER_QUERY
     rows = (
         queries.limit(max_queries + 1)
-        .select("qid", F.when(fits, F.col("pos")).alias("pos"), F.when(fits, F.col("q")).alias("q"))
-        .collect()
+        .select(
+            F.col("qid").cast("bigint"),
+            F.when(fits, F.col("pos")).alias("pos"),
+            F.when(fits, F.col("q").cast("array<double>")).alias("q"),
+        )
+        .toArrow()
     )
-    if len(rows) > max_queries or any(r.q is None for r in rows):
+    if rows.num_rows > max_queries or rows.column("q").null_count:
         return None
     found = [
-        Query(r.qid, np.asarray(r.pos, dtype=np.int64), np.asarray(r.q, dtype=np.float64))
-        for r in rows
-        if len(r.q)
+        Query(qid, pos.values.to_numpy().astype(np.int64), q.values.to_numpy())
+        for qid, pos, q in zip(rows.column("qid").to_pylist(), rows.column("pos"), rows.column("q"))
+        if len(q)
     ]
     if len({q.qid for q in found}) != len(found):
         raise ValueError("query ids must be unique")
@@ -76,17 +81,16 @@ def distances(matrix: np.ndarray, q: np.ndarray, limit: float) -> tuple[np.ndarr
     """
     alive = np.arange(matrix.shape[1])
     dist = np.zeros(len(alive))
-    for start in range(0, len(q), POSITIONS_PER_STEP):
-        part = matrix[start : start + POSITIONS_PER_STEP]
+    start, step = 0, FIRST_STEP
+    while start < len(q) and len(alive):
+        part = matrix[start : start + step]
         if len(alive) < matrix.shape[1]:
             part = part[:, alive]
-        step = np.abs(part - q[start : start + POSITIONS_PER_STEP, None]).max(axis=0)
-        dist = np.maximum(dist, step)
+        dist = np.maximum(dist, np.abs(part - q[start : start + step, None]).max(axis=0))
         near = dist <= limit
         if not near.all():
             alive, dist = alive[near], dist[near]
-        if not len(alive):
-            break
+        start, step = start + step, min(2 * step, LARGEST_STEP)
     return alive, dist
 
 
@@ -100,7 +104,7 @@ def envelope_bound(smax: np.ndarray, smin: np.ndarray, qmax: float, qmin: float)
     return np.maximum.reduce(ends)
 
 
-class _Nearest:
+class Nearest:
     """The k nearest (distance, id) seen so far."""
 
     def __init__(self, k: int):
@@ -146,7 +150,7 @@ def scan(
     rows_of = {q.qid: np.searchsorted(wanted, q.pos) for q in queries}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nearest = {q.qid: _Nearest(k) for q in queries}
+        nearest = {q.qid: Nearest(k) for q in queries}
         kept = dict.fromkeys(nearest, 0)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
