@@ -38,6 +38,15 @@ def as_queries(series: DataFrame) -> DataFrame:
     )
 
 
+def slice_queries(queries: DataFrame, first: int, last: int) -> DataFrame:
+    """The points of each query at positions ``first`` to ``last``, both kept."""
+    inside = F.filter(
+        F.arrays_zip("pos", "q"), lambda p: p.getField("pos").between(first, last)
+    )
+    cut = queries.select("qid", inside.alias("p"))
+    return cut.select("qid", F.col("p.pos").alias("pos"), F.col("p.q").alias("q"))
+
+
 def series_envelope(series: DataFrame) -> DataFrame:
     return series.select("id", F.array_max("v").alias("smax"), F.array_min("v").alias("smin"))
 

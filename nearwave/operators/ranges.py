@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from nearwave.functions.arrow import flat_lists
 from nearwave.functions.distance import value_blocks_bound
 from nearwave.operators.scan import Query, distances
-from nearwave.sources.tables import BlockIndex
+from nearwave.sources.tables import BlockIndex, UnstoredIndex
 
 # Beyond this many separate ranges per time block their hull is used.
 MAX_RANGES_PER_BLOCK = 16
@@ -27,6 +27,7 @@ _QUERY_BLOCK_SCHEMA = pa.schema(
         ("qb", pa.int32()),
         ("qid", pa.int64()),
         ("tb", pa.int32()),
+        ("n_tb", pa.int32()),
         ("radius", pa.float64()),
         ("last", pa.int32()),
         ("q_hi", pa.float64()),
@@ -37,7 +38,7 @@ _QUERY_BLOCK_SCHEMA = pa.schema(
 )
 
 
-def stored_len(index: BlockIndex, tb: int) -> int:
+def stored_len(index: BlockIndex | UnstoredIndex, tb: int) -> int:
     """Values stored in a time block, as far as the index knows it."""
     if index.uniform_len is None:
         return index.t_len
@@ -50,7 +51,7 @@ def _envelope(offs: np.ndarray, vals: np.ndarray, stored: int) -> dict:
     return {"mx": hi, "mn": lo, "fmx": hi if full else None, "fmn": lo if full else None}
 
 
-def query_block_rows(queries: list[Query], index: BlockIndex, radius: dict[int, float]) -> list[dict]:
+def query_block_rows(queries: list[Query], index: BlockIndex | UnstoredIndex, radius: dict[int, float]) -> list[dict]:
     """One row per query and touched time block, with its value blocks and points."""
     t_len, v_len = index.t_len, index.v_len
     rows: list[dict] = []
@@ -149,7 +150,7 @@ def scan_filter(rows: list[dict], per_block: bool = True) -> Column:
 
 
 def block_candidates(
-    index: BlockIndex, rows: list[dict], per_block: bool = True, block_filter: bool = False
+    index: BlockIndex | UnstoredIndex, rows: list[dict], per_block: bool = True, block_filter: bool = False
 ) -> DataFrame:
     """Block rows in range of a query block, joined with that query block.
 
@@ -182,7 +183,7 @@ def block_candidates(
     return stored.join(small, near).drop(F.col("q.tb"))
 
 
-def block_bound(index: BlockIndex) -> Column:
+def block_bound(index: BlockIndex | UnstoredIndex) -> Column:
     """Value-block lower bound of a joined block row."""
     return value_blocks_bound(F.col("vb"), F.col("qvb"), -(-index.t_len // index.v_len))
 
@@ -228,6 +229,25 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray, offs: np.nd
     return flat[offsets[rows][None, :] + offs[:, None]]
 
 
+def candidate_counts(index: BlockIndex | UnstoredIndex, rows: list[dict]) -> DataFrame:
+    """``(qid, n_range, n_filtered)``: series left by the range test alone, and with the
+    block bound on top; no distance is taken and no value is read."""
+    passed = (block_bound(index) <= F.col("radius")).cast("int")
+    per_series = (
+        block_candidates(index, rows)
+        .select("qid", "id", "n_tb", passed.alias("passed"))
+        .groupBy("qid", "id")
+        .agg(
+            F.count(F.lit(1)).alias("seen"), F.sum("passed").alias("passed"), F.max("n_tb").alias("n_tb")
+        )
+        .filter(F.col("seen") == F.col("n_tb"))
+    )
+    return per_series.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n_range"),
+        F.sum((F.col("passed") == F.col("n_tb")).cast("bigint")).alias("n_filtered"),
+    )
+
+
 def complete_candidates(measured: DataFrame) -> DataFrame:
     """``(qid, id, dist)`` of the ids present in every queried time block."""
     return (

@@ -16,7 +16,7 @@ from nearwave.operators.radius import (
 )
 from nearwave.operators.scan import Query, bounded_queries, scan, scan_pairs
 from nearwave.operators.topk import top_k
-from nearwave.sources.tables import BlockIndex
+from nearwave.sources.tables import BlockIndex, UnstoredIndex
 
 
 class TooManyQueries(ValueError):
@@ -151,3 +151,45 @@ def knn_index(
     else:
         raise ValueError(f"unknown radius {radius!r}")
     return top_k(search_within(index, found, radii, block_filter, True, exclude_self), k)
+
+
+# Share of a sample left by the index's filters above which a full scan is cheaper.
+SCAN_ABOVE_SHARE = 0.5
+
+
+def candidate_share(index: BlockIndex, queries: list[Query], radius: dict[int, float]) -> float:
+    """Mean share of the index's sample that its filters would let through."""
+    n = index.sample.count()
+    if not n or not queries:
+        return 1.0
+    trial = UnstoredIndex(index.sample, index.t_len, index.v_len, index.uniform_len)
+    rows = ranges.query_block_rows(queries, trial, radius)
+    kept = ranges.candidate_counts(trial, rows).agg(F.sum("n_filtered")).first()[0] or 0
+    return kept / (n * len(queries))
+
+
+def knn(
+    queries: DataFrame | list[Query],
+    k: int,
+    method: str,
+    *,
+    series: DataFrame | None = None,
+    index: BlockIndex | None = None,
+    **options,
+) -> DataFrame:
+    """One entry point: ``method`` is ``scan``, ``id_table``, ``index`` or ``auto``.
+
+    ``auto`` searches through the index unless its sample says that it would let most
+    series through, and then scans.
+    """
+    found = local_queries(queries)
+    if method == "auto":
+        radius = sample_radius(index.sample, found, k, options.get("exclude_self", False))
+        method = "scan" if candidate_share(index, found, radius) > SCAN_ABOVE_SHARE else "index"
+    if method == "scan":
+        return knn_scan(series, found, k, **options)
+    if method == "id_table":
+        return knn_by_id_table(series, found, k, **options)
+    if method == "index":
+        return knn_index(index, found, k, **options)
+    raise ValueError(f"unknown method {method!r}")

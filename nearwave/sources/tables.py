@@ -72,6 +72,24 @@ class BlockIndex:
         return self.sample.select("id", F.array_max("v").alias("smax"), F.array_min("v").alias("smin"))
 
 
+@dataclass(frozen=True)
+class UnstoredIndex:
+    """Blocks cut on the fly, for comparing block lengths without storing each."""
+
+    series: DataFrame
+    t_len: int
+    v_len: int
+    uniform_len: int | None
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.series.sparkSession
+
+    @property
+    def blocks(self) -> DataFrame:
+        return time_blocks(self.series, self.t_len, self.v_len).withColumn("tb_dir", F.col("tb"))
+
+
 def _stored_counts(blocks: DataFrame) -> tuple[int, int, int | None]:
     """Series, block rows and the common length, read from the table just written."""
     per_tb = sorted(
