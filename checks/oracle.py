@@ -69,24 +69,24 @@ s as (
 # Hashing and samples
 
 
-def _hash(seed: int, parts: list[str]) -> str:
-    """Select-list items that end in ``h``; each item uses the one before."""
-    items, h = [], str(seed & MASK)
+def _hashed(source: str, seed: int, parts: list[str]) -> str:
+    """The rows of ``source`` with a column ``h``: one nested select per mixing step."""
     keys = [key for p in parts for key in (f"(({p})::bigint & {MASK})", f"((({p})::bigint >> 32) & {MASK})")]
     steps = [(key, *STEP) for key in keys] + [("0::bigint", *final) for final in FINAL]
-    for i, (key, shift, multiplier) in enumerate(steps):
-        items.append(f"(({h} + {key}) & {MASK}) as y{i}")
-        items.append(f"((xor(y{i}, y{i} >> {shift}) * {multiplier}::bigint) & {MASK}) as h{i}")
-        h = f"h{i}"
-    return ", ".join(items) + f", {h} as h"
+    sql = f"(select *, {seed & MASK}::bigint as h from {source})"
+    for key, shift, multiplier in steps:
+        y = f"((h + {key}) & {MASK})"
+        mixed = f"((xor({y}, {y} >> {shift}) * {multiplier}::bigint) & {MASK})"
+        sql = f"(select * replace ({mixed} as h) from {sql})"
+    return sql
 
 
 def _hashed_ids(name: str, seed: int) -> str:
-    return f"{name} as (select id, {_hash(seed, ['id'])} from (select distinct id from s))"
+    return f"{name} as (select id, h from {_hashed('(select distinct id from s)', seed, ['id'])})"
 
 
 def _sampled_ids(name: str, sample_num: int = P.SAMPLE_NUM, seed: int = P.SAMPLE_SEED) -> str:
-    return f"""{name}_h as (select id, {_hash(seed, ['id'])} from (select distinct id from s)),
+    return f"""{_hashed_ids(f'{name}_h', seed)},
 {name} as (
   select id from {name}_h
   where h < floor(least(1::double, {sample_num}::double / (select count(*) from {name}_h)) * 4294967296::double))"""
@@ -217,7 +217,7 @@ def _unit_normal(stream: int, parts: list[str], name: str, source: str) -> str:
     a, b = NUMERATOR, DENOMINATOR
     num = f"((((({a[0]}::double * r + {a[1]}::double) * r + {a[2]}::double) * r + {a[3]}::double) * r + {a[4]}::double) * r + {a[5]}::double)"
     den = f"((((({b[0]}::double * r + {b[1]}::double) * r + {b[2]}::double) * r + {b[3]}::double) * r + {b[4]}::double) * r + 1::double)"
-    return f"""{name}_h as (select {source}.*, {_hash(P.NOISE_SEED, [str(stream), *parts])} from {source}),
+    return f"""{name}_h as (select * from {_hashed(source, P.NOISE_SEED, [str(stream), *parts])}),
 {name} as (
   select *, least({num} * u / {den}, 1::double) as g from (
     select *, u * u as r from (

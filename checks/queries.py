@@ -26,12 +26,25 @@ from nearwave.workdir import new_folder
 _indexes: dict[tuple, tables.BlockIndex] = {}
 
 
+_series: dict[tuple, str] = {}
+
+
+def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer series as a stored id table, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _series:
+        path = new_folder(spark, "spend-by-id")
+        tables.write_series_table(fixtures.cumulative_spend(spark, sf_dir), path, order=None)
+        _series[key] = path
+    return tables.read_series_table(spark, _series[key])
+
+
 def spend_index(spark: SparkSession, sf_dir: str) -> tables.BlockIndex:
     """Block index over the customer series, built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, "spend")
     if key not in _indexes:
         _indexes[key] = tables.write_block_index(
-            fixtures.cumulative_spend(spark, sf_dir),
+            spend(spark, sf_dir),
             new_folder(spark, "spend"),
             P.SPEND_T,
             P.SPEND_V,
@@ -60,11 +73,11 @@ def _sampled(series: DataFrame) -> DataFrame:
 
 
 def _spend_queries(spark: SparkSession, sf_dir: str) -> list:
-    return search.local_queries(_sampled(fixtures.cumulative_spend(spark, sf_dir)))
+    return search.local_queries(_sampled(spend(spark, sf_dir)))
 
 
 def _offset_queries(spark: SparkSession, sf_dir: str) -> list:
-    sampled = _sampled(fixtures.cumulative_spend(spark, sf_dir))
+    sampled = _sampled(spend(spark, sf_dir))
     return search.local_queries(blocks.slice_queries(sampled, P.OFFSET_FIRST, P.OFFSET_LAST))
 
 
@@ -84,7 +97,7 @@ def _next_to(series: DataFrame) -> DataFrame:
 
 
 def _next_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _next_to(fixtures.cumulative_spend(spark, sf_dir))
+    pairs = _next_to(spend(spark, sf_dir))
     return pairs.select(
         "a",
         "b",
@@ -101,13 +114,13 @@ def _next_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series_text_roundtrip(spark, sf_dir):
     path = new_folder(spark, "text")
-    text.write_series_text(fixtures.cumulative_spend(spark, sf_dir), path)
+    text.write_series_text(spend(spark, sf_dir), path)
     series, _ = text.read_series_text(spark, path)
     return blocks.points(series)
 
 
 def query_points(spark, sf_dir):
-    queries = _growth_points(blocks.as_queries(fixtures.cumulative_spend(spark, sf_dir)))
+    queries = _growth_points(blocks.as_queries(spend(spark, sf_dir)))
     return blocks.query_points(text.parse_query_points(text.format_query_points(queries)))
 
 
@@ -128,7 +141,7 @@ def block_index(spark, sf_dir):
 
 
 def time_blocks(spark, sf_dir):
-    cut = blocks.time_blocks(fixtures.cumulative_spend(spark, sf_dir), P.SPEND_T, P.SPEND_V)
+    cut = blocks.time_blocks(spend(spark, sf_dir), P.SPEND_T, P.SPEND_V)
     return cut.select("id", "tb", "tmax", "tmin", "n")
 
 
@@ -141,7 +154,7 @@ def series_envelope(spark, sf_dir):
 
 
 def query_blocks(spark, sf_dir):
-    queries = _growth_points(blocks.as_queries(fixtures.cumulative_spend(spark, sf_dir)))
+    queries = _growth_points(blocks.as_queries(spend(spark, sf_dir)))
     return blocks.query_blocks(queries, P.SPEND_T, P.SPEND_V)
 
 
@@ -157,7 +170,7 @@ def block_lower_bounds(spark, sf_dir):
 
 
 def multi_block_lower_bounds(spark, sf_dir):
-    pairs = _next_to(fixtures.cumulative_spend(spark, sf_dir))
+    pairs = _next_to(spend(spark, sf_dir))
     cut = [blocks.value_envelopes(F.col(c), P.SPEND_V) for c in ("va", "vb")]
     return pairs.select("a", "b", multi_block_lower_bound(*cut).alias("lb"))
 
@@ -171,7 +184,7 @@ def block_upper_bounds(spark, sf_dir):
 
 
 def profile_series(spark, sf_dir):
-    return profile.profile_series(fixtures.cumulative_spend(spark, sf_dir))
+    return profile.profile_series(spend(spark, sf_dir))
 
 
 def length_violations(spark, sf_dir):
@@ -179,13 +192,13 @@ def length_violations(spark, sf_dir):
 
 
 def envelope_sample(spark, sf_dir):
-    series = fixtures.cumulative_spend(spark, sf_dir)
+    series = spend(spark, sf_dir)
     fraction = sampling.sample_fraction(P.SAMPLE_NUM, series.count())
     return sampling.envelope_sample(series, fraction, P.SAMPLE_SEED)
 
 
 def sample_queries(spark, sf_dir):
-    return blocks.query_points(_sampled(fixtures.cumulative_spend(spark, sf_dir)))
+    return blocks.query_points(_sampled(spend(spark, sf_dir)))
 
 
 # Search
@@ -233,7 +246,7 @@ def knn_index_vectors(spark, sf_dir):
 
 
 def knn_sparse_positions(spark, sf_dir):
-    queries = _growth_points(_sampled(fixtures.cumulative_spend(spark, sf_dir)))
+    queries = _growth_points(_sampled(spend(spark, sf_dir)))
     return search.knn_index(spend_index(spark, sf_dir), queries, P.K)
 
 
@@ -244,19 +257,19 @@ def knn_within_radius(spark, sf_dir):
 
 
 def knn_join(spark, sf_dir):
-    series = fixtures.cumulative_spend(spark, sf_dir)
+    series = spend(spark, sf_dir)
     return join_all(series, blocks.as_queries(series), P.K, spend_index(spark, sf_dir))
 
 
 def knn_filtered_scan(spark, sf_dir):
     index, queries = spend_index(spark, sf_dir), _spend_queries(spark, sf_dir)
     radius = search.envelope_radius(index, queries, P.K, P.SAMPLE_NUM)
-    return search.knn_filtered_scan(fixtures.cumulative_spend(spark, sf_dir), queries, P.K, radius)
+    return search.knn_filtered_scan(spend(spark, sf_dir), queries, P.K, radius)
 
 
 def knn_unfiltered_scan(spark, sf_dir):
     queries = _spend_queries(spark, sf_dir)
-    return search.knn_filtered_scan(fixtures.cumulative_spend(spark, sf_dir), queries, P.K, None)
+    return search.knn_filtered_scan(spend(spark, sf_dir), queries, P.K, None)
 
 
 def knn_radius(spark, sf_dir):
@@ -315,22 +328,22 @@ def clean_series(spark, sf_dir):
 
 
 def jitter_series(spark, sf_dir):
-    series = fixtures.cumulative_spend(spark, sf_dir)
+    series = spend(spark, sf_dir)
     return blocks.points(prepare.jitter_series(series, P.JITTER_RATE, P.NOISE_SEED))
 
 
 def augment_rows(spark, sf_dir):
-    series = fixtures.cumulative_spend(spark, sf_dir)
+    series = spend(spark, sf_dir)
     return blocks.points(prepare.augment_dense(series, P.AUGMENT_SIZE, 0, P.NOISE_SEED))
 
 
 def augment_length(spark, sf_dir):
-    series = fixtures.cumulative_spend(spark, sf_dir)
+    series = spend(spark, sf_dir)
     return blocks.points(prepare.augment(series, 0, P.AUGMENT_DIM, P.NOISE_SEED).select("id", "v"))
 
 
 def augment_profile(spark, sf_dir):
-    series = fixtures.cumulative_spend(spark, sf_dir)
+    series = spend(spark, sf_dir)
     grown = prepare.augment_dense(series, P.AUGMENT_SIZE, P.AUGMENT_DIM, P.NOISE_SEED)
     return prepare.augment_profile(grown, "spend")
 
@@ -340,7 +353,7 @@ def augment_profile(spark, sf_dir):
 
 def compare_methods(spark, sf_dir):
     return sweeps.compare_methods(
-        fixtures.cumulative_spend(spark, sf_dir),
+        spend(spark, sf_dir),
         spend_index(spark, sf_dir),
         _spend_queries(spark, sf_dir),
         P.K,
@@ -365,7 +378,7 @@ def knn_multi_prefix(spark, sf_dir):
 
 def radius_by_sample_size(spark, sf_dir):
     return sweeps.radius_by_sample_size(
-        fixtures.cumulative_spend(spark, sf_dir),
+        spend(spark, sf_dir),
         spend_index(spark, sf_dir),
         _spend_queries(spark, sf_dir),
         P.K,
@@ -377,7 +390,7 @@ def radius_by_sample_size(spark, sf_dir):
 def _pruning_by_lengths(spark, sf_dir, lengths):
     index, queries = spend_index(spark, sf_dir), _spend_queries(spark, sf_dir)
     return sweeps.pruning_by_block_lengths(
-        fixtures.cumulative_spend(spark, sf_dir),
+        spend(spark, sf_dir),
         queries,
         sample_radius(index.sample, queries, P.K),
         lengths,
@@ -396,7 +409,7 @@ def pruning_by_value_block(spark, sf_dir):
 def pruning_on_off(spark, sf_dir):
     index, queries = spend_index(spark, sf_dir), _spend_queries(spark, sf_dir)
     radius = search.envelope_radius(index, queries, P.K, P.SAMPLE_NUM)
-    return sweeps.pruning_on_off(fixtures.cumulative_spend(spark, sf_dir), queries, P.K, radius)
+    return sweeps.pruning_on_off(spend(spark, sf_dir), queries, P.K, radius)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,8 +13,9 @@ def flat_lists(column: pa.Array, dtype=np.float64) -> tuple[np.ndarray, np.ndarr
     return flat, offsets - offsets[0]
 
 
-def list_column(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+def list_column(flat: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.Array:
+    values = flat if isinstance(flat, pa.Array) else pa.array(flat)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
 def row_of_value(offsets: np.ndarray) -> np.ndarray:

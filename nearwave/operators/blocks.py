@@ -5,9 +5,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearwave.functions.arrow import flat_lists, list_column
+
 
 def _chunks(v: Column, length: int) -> Column:
     """Array of consecutive slices; the last one may be short."""
@@ -59,20 +65,54 @@ def value_envelopes(seg: Column, v_len: int) -> Column:
     )
 
 
+BLOCK_SCHEMA = (
+    "tb INT, tmax DOUBLE, tmin DOUBLE, id BIGINT, n INT, vb ARRAY<STRUCT<mx: DOUBLE, mn: DOUBLE>>, seg ARRAY<DOUBLE>"
+)
+
+
+def _starts(begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cut each run ``begin .. end`` every ``length`` values: starts, and pieces per run."""
+    pieces = -(-(end - begin) // length)
+    run = np.repeat(np.arange(len(begin)), pieces)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return begin[run] + nth * length, pieces
+
+
 def time_blocks(series: DataFrame, t_len: int, v_len: int) -> DataFrame:
-    """One row per series and time block: ``(tb, tmax, tmin, id, n, vb, seg)``."""
-    cut = series.filter(F.size("v") > 0).select(
-        "id", F.posexplode(_chunks(F.col("v"), t_len)).alias("tb", "seg")
-    )
-    return cut.select(
-        "tb",
-        F.array_max("seg").alias("tmax"),
-        F.array_min("seg").alias("tmin"),
-        "id",
-        F.size("seg").alias("n"),
-        value_envelopes(F.col("seg"), v_len).alias("vb"),
-        "seg",
-    )
+    """One row per series and time block: ``(tb, tmax, tmin, id, n, vb, seg)``.
+
+    Blocks lie one behind the other in a batch's values, so all envelopes of a batch are
+    two segmented reductions and the segments are the values themselves, re-labelled.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            flat, offsets = flat_lists(batch.column(1))
+            if not len(flat):
+                continue
+            start, per_series = _starts(offsets[:-1], offsets[1:], t_len)
+            end = np.append(start[1:], len(flat))
+            v_start, per_block = _starts(start, end, v_len)
+            row = np.repeat(np.arange(len(ids)), per_series)
+            envelopes = pa.StructArray.from_arrays(
+                [pa.array(f.reduceat(flat, v_start)) for f in (np.maximum, np.minimum)], names=["mx", "mn"]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(((start - offsets[row]) // t_len).astype(np.int32)),
+                    pa.array(np.maximum.reduceat(flat, start)),
+                    pa.array(np.minimum.reduceat(flat, start)),
+                    pa.array(ids[row]),
+                    pa.array((end - start).astype(np.int32)),
+                    list_column(envelopes, np.append(0, np.cumsum(per_block))),
+                    list_column(flat, np.append(start, len(flat))),
+                ],
+                names=["tb", "tmax", "tmin", "id", "n", "vb", "seg"],
+            )
+
+    usable = series.filter(F.size("v") > 0).select("id", "v")
+    return usable.mapInArrow(kernel, BLOCK_SCHEMA)
 
 
 def value_blocks(blocks: DataFrame) -> DataFrame:
