@@ -65,9 +65,7 @@ def value_envelopes(seg: Column, v_len: int) -> Column:
     )
 
 
-BLOCK_SCHEMA = (
-    "tb INT, tmax DOUBLE, tmin DOUBLE, id BIGINT, n INT, vb ARRAY<STRUCT<mx: DOUBLE, mn: DOUBLE>>, seg ARRAY<DOUBLE>"
-)
+BLOCK_SCHEMA = "tb INT, tmax DOUBLE, tmin DOUBLE, id BIGINT, n INT, vb ARRAY<STRUCT<mx: DOUBLE, mn: DOUBLE>>"
 
 
 def _starts(begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +76,15 @@ def _starts(begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray
     return begin[run] + nth * length, pieces
 
 
-def time_blocks(series: DataFrame, t_len: int, v_len: int) -> DataFrame:
+def time_blocks(series: DataFrame, t_len: int, v_len: int, values: bool = True) -> DataFrame:
     """One row per series and time block: ``(tb, tmax, tmin, id, n, vb, seg)``.
 
+    ``values=False`` leaves out ``seg`` where only bounds are compared.
+
     Blocks lie one behind the other in a batch's values, so all envelopes of a batch are
     two segmented reductions and the segments are the values themselves, re-labelled.
     """
+    names = ["tb", "tmax", "tmin", "id", "n", "vb", *(["seg"] if values else [])]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,6 +99,7 @@ def time_blocks(series: DataFrame, t_len: int, v_len: int) -> DataFrame:
             envelopes = pa.StructArray.from_arrays(
                 [pa.array(f.reduceat(flat, v_start)) for f in (np.maximum, np.minimum)], names=["mx", "mn"]
             )
+            segments = [list_column(flat, np.append(start, len(flat)))] if values else []
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(((start - offsets[row]) // t_len).astype(np.int32)),
@@ -106,13 +108,13 @@ def time_blocks(series: DataFrame, t_len: int, v_len: int) -> DataFrame:
                     pa.array(ids[row]),
                     pa.array((end - start).astype(np.int32)),
                     list_column(envelopes, np.append(0, np.cumsum(per_block))),
-                    list_column(flat, np.append(start, len(flat))),
+                    *segments,
                 ],
-                names=["tb", "tmax", "tmin", "id", "n", "vb", "seg"],
+                names=names,
             )
 
     usable = series.filter(F.size("v") > 0).select("id", "v")
-    return usable.mapInArrow(kernel, BLOCK_SCHEMA)
+    return usable.mapInArrow(kernel, f"{BLOCK_SCHEMA}, seg ARRAY<DOUBLE>" if values else BLOCK_SCHEMA)
 
 
 def value_blocks(blocks: DataFrame) -> DataFrame:

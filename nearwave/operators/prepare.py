@@ -26,8 +26,9 @@ DEFAULT_RATE = 0.1
 # Streams of random numbers that must not repeat each other.
 POINT_STREAM = 0
 RATE_STREAM = 1
-# Buckets in which ids are ranked side by side.
-RANK_BUCKETS = 256
+# Ids are ranked side by side in buckets of about this size, up to a number of buckets.
+IDS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 256
 
 
 def _fill(flat: np.ndarray, offsets: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -173,16 +174,19 @@ def augment(series: DataFrame, size: int = 0, dim: int = 0, seed: int = 0) -> Da
     return series.filter(F.size("v") > 0).select(*kept, "v").mapInArrow(kernel, schema)
 
 
-def dense_rank_of_ids(ids: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
+def dense_rank_of_ids(ids: DataFrame, buckets: int | None = None) -> DataFrame:
     """``(id, rank)`` with ranks 1 .. N in id order, for unique ids.
 
     Ids are cut into buckets at quantiles, ranked inside each, and shifted by the counts of
     the buckets before.  The cuts are literals, so both passes and any re-run task agree.
     """
     ids = ids.select("id")
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = ids.agg(F.percentile_approx("id", steps)).first()[0] or []
-    bounds = sorted(set(cuts))
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, 1 + ids.count() // IDS_PER_BUCKET)
+    bounds: list[int] = []
+    if buckets > 1:
+        steps = [i / buckets for i in range(1, buckets)]
+        bounds = sorted(set(ids.agg(F.percentile_approx("id", steps)).first()[0] or []))
     placed = ids.withColumn("bucket", n_bounds_reached(F.col("id"), bounds))
     counts = dict(placed.groupBy("bucket").count().collect())
     before, offsets = 0, []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwave.functions.hashing import hash32, sample_threshold
@@ -13,9 +13,14 @@ def sample_fraction(sample_num: int, total: int) -> float:
     return min(1.0, sample_num / total) if total else 1.0
 
 
+def in_sample(fraction: float, seed: int = 0) -> Column:
+    """True for ids of a Bernoulli sample; samples of one seed are nested."""
+    return hash32(seed, F.col("id")) < sample_threshold(fraction)
+
+
 def bernoulli_sample(series: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Each row with probability ``fraction``, without replacement."""
-    return series.filter(hash32(seed, F.col("id")) < sample_threshold(fraction))
+    return series.filter(in_sample(fraction, seed))
 
 
 def envelope_sample(series: DataFrame, fraction: float = 0.01, seed: int = 0) -> DataFrame:

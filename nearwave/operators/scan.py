@@ -148,6 +148,9 @@ def scan(
         return series.sparkSession.createDataFrame([], SCAN_SCHEMA)
     wanted = np.unique(np.concatenate([q.pos for q in queries]))
     rows_of = {q.qid: np.searchsorted(wanted, q.pos) for q in queries}
+    # Only the run of queried positions leaves the JVM, unless whole series are looked at.
+    whole = full_length or bounds is not None
+    offs = wanted if whole else wanted - wanted[0]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = {q.qid: Nearest(k) for q in queries}
@@ -173,7 +176,7 @@ def scan(
 
     def _compare(ids, flat, offsets, nearest, kept) -> None:
         lengths = np.diff(offsets)
-        matrix = at_positions(flat, offsets, wanted)
+        matrix = at_positions(flat, offsets, offs)
         if bounds is not None:
             smax = np.maximum.reduceat(flat, offsets[:-1])
             smin = np.minimum.reduceat(flat, offsets[:-1])
@@ -181,8 +184,8 @@ def scan(
             if full_length and (lengths != len(q.q)).any():
                 raise ValueError(f"query {q.qid} and the stored series differ in length")
             rows = rows_of[q.qid]
-            whole = len(rows) == len(wanted) and rows[0] == 0 and (np.diff(rows) == 1).all()
-            part = matrix if whole else matrix[rows]
+            every = len(rows) == len(wanted) and (np.diff(rows) == 1).all()
+            part = matrix if every else matrix[rows]
             chosen = np.ones(len(ids), dtype=bool)
             if exclude_self:
                 chosen &= ids != q.qid
@@ -196,8 +199,9 @@ def scan(
             if len(near):
                 best.add(ids[chosen][near], dist)
 
-    usable = series.filter(F.size("v") > 0).select("id", "v")
-    return usable.mapInArrow(kernel, SCAN_SCHEMA)
+    usable = series.filter(F.size("v") > 0)
+    values = F.col("v") if whole else F.slice("v", int(wanted[0]) + 1, int(wanted[-1] - wanted[0]) + 1)
+    return usable.select("id", values.alias("v")).mapInArrow(kernel, SCAN_SCHEMA)
 
 
 def scan_pairs(scanned: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 A block index is a folder with three Parquet tables:
 
 * ``blocks``  one row per (time block, series), in directories by time block and
-  sorted by (tb, tmax, tmin, id) so that row-group statistics can skip data;
+  sorted by (tb, tmax, tmin, id) so that row-group statistics can skip data.  The blocks
+  of sampled series lie in directories of their own, so the sample is read off without
+  another pass over the values;
 * ``sample``  a hash sample of whole series, from which search radii are derived;
 * ``meta``    one row: block lengths and counts.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearwave.operators.blocks import time_blocks
-from nearwave.operators.sampling import bernoulli_sample, sample_fraction
+from nearwave.operators.sampling import in_sample, sample_fraction
 
 BLOCK_KEY = ("tb", "tmax", "tmin", "id")
 
@@ -61,7 +63,7 @@ class BlockIndex:
 
     @property
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blocks")
+        return self.spark.read.parquet(f"{self.path}/blocks").drop("sampled")
 
     @property
     def sample(self) -> DataFrame:
@@ -74,7 +76,7 @@ class BlockIndex:
 
 @dataclass(frozen=True)
 class UnstoredIndex:
-    """Blocks cut on the fly, for comparing block lengths without storing each."""
+    """Envelopes of blocks cut on the fly, for comparing block lengths without storing each."""
 
     series: DataFrame
     t_len: int
@@ -87,7 +89,7 @@ class UnstoredIndex:
 
     @property
     def blocks(self) -> DataFrame:
-        return time_blocks(self.series, self.t_len, self.v_len).withColumn("tb_dir", F.col("tb"))
+        return time_blocks(self.series, self.t_len, self.v_len, values=False).withColumn("tb_dir", F.col("tb"))
 
 
 def _stored_counts(blocks: DataFrame) -> tuple[int, int, int | None]:
@@ -106,10 +108,10 @@ def _stored_counts(blocks: DataFrame) -> tuple[int, int, int | None]:
     return n_series, sum(r.rows for r in per_tb), length
 
 
-def _stored_sample(blocks: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Whole series of the sampled ids, put together from the stored blocks."""
+def _stored_sample(blocks: DataFrame) -> DataFrame:
+    """Whole series of the sampled ids, put together from their stored blocks."""
     return (
-        bernoulli_sample(blocks.select("id", "tb", "seg"), fraction, seed)
+        blocks.filter("sampled = 1")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("tb", "seg"))).alias("parts"))
         .select("id", F.flatten(F.col("parts.seg")).alias("v"))
@@ -131,19 +133,20 @@ def write_block_index(
     are still spread by id, so a value held by a third of the series splits over tasks.
     """
     spark = series.sparkSession
+    fraction = sample_fraction(sample_num, series.count())
     (
         time_blocks(series, t_len, v_len)
         .repartitionByRange(*BLOCK_KEY)
-        .sortWithinPartitions(*BLOCK_KEY)
         .withColumn("tb_dir", F.col("tb"))
+        .withColumn("sampled", in_sample(fraction, seed).cast("int"))
+        .sortWithinPartitions("tb_dir", "sampled", *BLOCK_KEY)
         .write.mode(mode)
-        .partitionBy("tb_dir")
+        .partitionBy("tb_dir", "sampled")
         .parquet(f"{path}/blocks")
     )
     blocks = spark.read.parquet(f"{path}/blocks")
     n_series, n_blocks, length = _stored_counts(blocks)
-    sample = _stored_sample(blocks, sample_fraction(sample_num, n_series), seed)
-    sample.write.mode(mode).parquet(f"{path}/sample")
+    _stored_sample(blocks).write.mode(mode).parquet(f"{path}/sample")
     meta = [(t_len, v_len, n_series, n_blocks, length)]
     spark.createDataFrame(
         meta, "t_len INT, v_len INT, n_series BIGINT, n_blocks BIGINT, uniform_len INT"

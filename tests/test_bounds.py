@@ -8,6 +8,7 @@ from nearwave.functions.hashing import hash32, hash32_np
 from nearwave.functions.noise import unit_normal
 from nearwave.operators import blocks, sampling
 from nearwave.operators.scan import envelope_bound
+from nearwave.operators.topk import top_k
 
 
 def test_order_of_bounds(spark):
@@ -81,3 +82,19 @@ def test_blocks_of_ragged_series(series_of):
     assert [tuple(e) for e in cut[1, 0].vb] == [(3.0, 1.0), (2.0, 2.0)]
     assert (cut[1, 1].tmax, cut[1, 1].tmin, cut[1, 1].n, cut[1, 1].seg) == (9.0, 8.0, 2, [9.0, 8.0])
     assert [tuple(e) for e in cut[3, 0].vb] == [(1.0, 1.0), (4.0, 4.0)]
+
+
+def test_top_k_in_pieces(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(q), int(i), float(d)) for q in (1, 2) for i, d in enumerate(rng.integers(0, 50, size=400))]
+    pairs = spark.createDataFrame(rows, "qid BIGINT, id BIGINT, dist DOUBLE").repartition(5)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    plain = sorted(map(tuple, top_k(pairs, 30).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert sorted(map(tuple, top_k(pairs, 30).collect())) == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    for qid in (1, 2):
+        nearest = sorted((d, i) for q, i, d in rows if q == qid)[:30]
+        assert [(r[3], r[2]) for r in plain if r[0] == qid] == nearest

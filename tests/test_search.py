@@ -1,5 +1,7 @@
 """Every search method against brute force, for all query shapes."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -144,7 +146,7 @@ def test_index_plan_prunes_and_pushes_down(index, queries_of):
     queries = search.local_queries(queries_of({0: (list(range(8)), WALKS[0][:8])}))
     rows = ranges.query_block_rows(queries, index, {0: 1.0})
     plan = _plan(ranges.block_candidates(index, rows, block_filter=True).select("id", "qid"))
-    assert "PartitionFilters: [tb_dir" in plan.replace("PartitionFilters: [isnotnull(tb_dir", "PartitionFilters: [tb_dir") and "GreaterThanOrEqual(tmax" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*tb_dir", plan) and "GreaterThanOrEqual(tmax" in plan
     assert "BroadcastHashJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     # The values are not read where only bounds are needed.
     assert "seg" not in plan.split("ReadSchema")[1]
