@@ -16,8 +16,9 @@ from nearwave.functions.distance import value_blocks_bound
 from nearwave.operators.scan import Query, distances
 from nearwave.sources.tables import BlockIndex, UnstoredIndex
 
-# Beyond this many separate ranges per time block their hull is used.
-MAX_RANGES_PER_BLOCK = 16
+# Ranges written into a scan filter, over all its time blocks.  What does not fit is
+# replaced by a hull: the exact test follows in the join.
+MAX_RANGES = 128
 
 # Envelopes of the queried points of one value block.  ``fmx``/``fmn`` repeat them if the
 # query covers every stored position of that block and are null otherwise.
@@ -106,14 +107,14 @@ def _ranges(row: dict, per_block: bool) -> tuple[float, float, float, float]:
     return down(env["mx"]), up(env["mx"]), down(env["mn"]), up(env["mn"])
 
 
-def _merged(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
+def _merged(ranges: list[tuple[float, float]], most: int) -> list[tuple[float, float]]:
     out: list[tuple[float, float]] = []
     for lo, hi in sorted(ranges):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], hi))
         else:
             out.append((lo, hi))
-    return out if len(out) <= MAX_RANGES_PER_BLOCK else [(out[0][0], max(h for _, h in out))]
+    return out if len(out) <= most else [(out[0][0], out[-1][1])]
 
 
 def _between(column: str, lo: float, hi: float) -> Column | None:
@@ -140,9 +141,15 @@ def scan_filter(rows: list[dict], per_block: bool = True) -> Column:
     for row in rows:
         by_tb.setdefault(row["tb"], []).append(_ranges(row, per_block))
     dirs = F.col("tb_dir").isin(sorted(by_tb)) if by_tb else F.lit(False)
+    if len(by_tb) > MAX_RANGES:
+        every = [r for ranges in by_tb.values() for r in ranges]
+        tmax = _between("tmax", min(r[0] for r in every), max(r[1] for r in every))
+        tmin = _between("tmin", min(r[2] for r in every), max(r[3] for r in every))
+        return _all([dirs, tmax, tmin])
+    most = MAX_RANGES // max(1, len(by_tb))
     choices = []
     for tb, ranges in sorted(by_tb.items()):
-        hulls = [_between("tmax", lo, hi) for lo, hi in _merged([r[:2] for r in ranges])]
+        hulls = [_between("tmax", lo, hi) for lo, hi in _merged([r[:2] for r in ranges], most)]
         any_max = None if any(h is None for h in hulls) else reduce(lambda a, b: a | b, hulls)
         tmin = _between("tmin", min(r[2] for r in ranges), max(r[3] for r in ranges))
         choices.append(_all([F.col("tb") == tb, any_max, tmin]))

@@ -18,9 +18,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearwave.operators.blocks import time_blocks
+from nearwave.operators.blocks import BLOCK_SCHEMA, time_blocks
 from nearwave.operators.sampling import in_sample, sample_fraction
 
+# Tables are read with their known schema: no job to infer it from footers.
+SERIES_SCHEMA = "id BIGINT, v ARRAY<DOUBLE>"
+STORED_BLOCK_SCHEMA = f"{BLOCK_SCHEMA}, seg ARRAY<DOUBLE>, tb_dir INT, sampled INT"
+META_SCHEMA = "t_len INT, v_len INT, n_series BIGINT, n_blocks BIGINT, uniform_len INT"
 BLOCK_KEY = ("tb", "tmax", "tmin", "id")
 
 
@@ -35,17 +39,17 @@ def last_per_id(series: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def write_series_table(series: DataFrame, path: str, order: str | None = "ord", mode: str = "errorifexists") -> int:
-    """Store ``(id, v)`` hash-distributed by id; returns the rows stored.
+    """Store ``(id, v)``, one row per id; returns the rows stored.
 
-    ``order=None`` says ids are already unique and skips the replacement step.
+    ``order=None`` says ids are already unique: the rows are then written without a shuffle.
     """
-    unique = series.select("id", "v").repartition("id") if order is None else last_per_id(series, order)
+    unique = series.select("id", "v") if order is None else last_per_id(series, order)
     unique.write.mode(mode).parquet(path)
-    return series.sparkSession.read.parquet(path).count()
+    return read_series_table(series.sparkSession, path).count()
 
 
 def read_series_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(SERIES_SCHEMA).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -63,11 +67,11 @@ class BlockIndex:
 
     @property
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blocks").drop("sampled")
+        return _read_blocks(self.spark, self.path).drop("sampled")
 
     @property
     def sample(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/sample")
+        return read_series_table(self.spark, f"{self.path}/sample")
 
     @cached_property
     def envelopes(self) -> DataFrame:
@@ -92,6 +96,10 @@ class UnstoredIndex:
         return time_blocks(self.series, self.t_len, self.v_len, values=False).withColumn("tb_dir", F.col("tb"))
 
 
+def _read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STORED_BLOCK_SCHEMA).parquet(f"{path}/blocks")
+
+
 def _stored_counts(blocks: DataFrame) -> tuple[int, int, int | None]:
     """Series, block rows and the common length, read from the table just written."""
     per_tb = sorted(
@@ -144,18 +152,16 @@ def write_block_index(
         .partitionBy("tb_dir", "sampled")
         .parquet(f"{path}/blocks")
     )
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = _read_blocks(spark, path)
     n_series, n_blocks, length = _stored_counts(blocks)
     _stored_sample(blocks).write.mode(mode).parquet(f"{path}/sample")
     meta = [(t_len, v_len, n_series, n_blocks, length)]
-    spark.createDataFrame(
-        meta, "t_len INT, v_len INT, n_series BIGINT, n_blocks BIGINT, uniform_len INT"
-    ).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
+    spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
     return open_block_index(spark, path)
 
 
 def open_block_index(spark: SparkSession, path: str) -> BlockIndex:
-    meta = spark.read.parquet(f"{path}/meta").first()
+    meta = spark.read.schema(META_SCHEMA).parquet(f"{path}/meta").first()
     return BlockIndex(
         spark, path, meta.t_len, meta.v_len, meta.n_series, meta.n_blocks, meta.uniform_len
     )

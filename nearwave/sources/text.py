@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +80,9 @@ def parse_query_points(
     value_sep: str = POINT_VALUE_SEPARATOR,
 ) -> DataFrame:
     """A table ``(qid, points)`` of query strings to packed queries ``(qid, pos, q)``."""
-    pairs = F.transform(
-        F.split(F.col(column), F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E")), -1),
-        lambda t: F.split(t, F.concat(F.lit("\\Q"), F.lit(value_sep), F.lit("\\E")), 2),
-    )
+    # ``split`` takes patterns; separators are meant as they stand.
+    point, value = re.escape(sep), re.escape(value_sep)
+    pairs = F.transform(F.split(F.col(column), point, -1), lambda t: F.split(t, value, 2))
     return texts.select("qid", pairs.alias("pairs")).select(
         "qid",
         F.transform("pairs", lambda p: F.get(p, F.lit(0)).cast("int")).alias("pos"),

@@ -152,6 +152,14 @@ def test_index_plan_prunes_and_pushes_down(index, queries_of):
     assert "seg" not in plan.split("ReadSchema")[1]
 
 
+@pytest.mark.parametrize("most", [1, 5])
+def test_hulls_replace_ranges(index, queries_of, monkeypatch, most):
+    monkeypatch.setattr(ranges, "MAX_RANGES", most)
+    for shape in ("full", "partial block"):
+        queries = _queries(SHAPES[shape])
+        assert answers(search.knn_index(index, queries_of(queries), 10)) == nearest(WALKS, queries, 10)
+
+
 def test_scan_plan_has_no_join(series, queries_of):
     plan = _plan(search.knn_scan(series, queries_of(_queries([0, 1])), 3))
     assert "Join" not in plan and "WindowGroupLimit" in plan
