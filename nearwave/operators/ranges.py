@@ -25,7 +25,6 @@ MAX_RANGES = 128
 _ENVELOPE = pa.struct([(name, pa.float64()) for name in ("mx", "mn", "fmx", "fmn")])
 _QUERY_BLOCK_SCHEMA = pa.schema(
     [
-        ("qb", pa.int32()),
         ("qid", pa.int64()),
         ("tb", pa.int32()),
         ("n_tb", pa.int32()),
@@ -70,7 +69,6 @@ def query_block_rows(queries: list[Query], index: BlockIndex | UnstoredIndex, ra
                 qvb.append(_envelope(offs[here], vals[here], in_block) if here.any() else None)
             rows.append(
                 {
-                    "qb": len(rows),
                     "qid": q.qid,
                     "tb": int(tb),
                     "n_tb": len(touched),
@@ -156,6 +154,13 @@ def scan_filter(rows: list[dict], per_block: bool = True) -> Column:
     return dirs & reduce(lambda a, b: a | b, choices) if choices else dirs
 
 
+def _broadcast_rows(index: BlockIndex | UnstoredIndex, rows: list[dict]) -> DataFrame:
+    """The query blocks as table ``q``: at most MAX_QUERIES queries, of bounded length."""
+    names = _QUERY_BLOCK_SCHEMA.names
+    table = pa.Table.from_pylist([{n: r[n] for n in names} for r in rows], _QUERY_BLOCK_SCHEMA)
+    return F.broadcast(index.spark.createDataFrame(table)).alias("q")
+
+
 def block_candidates(
     index: BlockIndex | UnstoredIndex, rows: list[dict], per_block: bool = True, block_filter: bool = False
 ) -> DataFrame:
@@ -169,25 +174,29 @@ def block_candidates(
     All tests form one join condition, cheap ones first, so that a pair that fails is
     never a row.
     """
-    spark = index.spark
     stored = index.blocks.filter(scan_filter(rows, per_block)).drop("tb_dir").alias("b")
-    # Bounded by MAX_QUERIES queries of MAX_POINTS_PER_QUERY points.
-    names = _QUERY_BLOCK_SCHEMA.names
-    table = pa.Table.from_pylist([{n: r[n] for n in names} for r in rows], _QUERY_BLOCK_SCHEMA)
-    small = F.broadcast(spark.createDataFrame(table)).alias("q")
+    near = (F.col("b.tb") == F.col("q.tb")) & _in_range(per_block)
+    if block_filter:
+        near &= block_bound(index) <= F.col("radius")
+    return stored.join(_broadcast_rows(index, rows), near).drop(F.col("q.tb"))
+
+
+def _in_range(per_block: bool = True) -> Column:
+    """The exact range test of a joined block row, as differences."""
     r = F.col("radius")
-    near = (F.col("b.tb") == F.col("q.tb")) & (F.col("n") > F.col("last"))
-    if per_block:
-        env = {name: F.col(f"env.{name}") for name in ("mx", "mn", "fmx", "fmn")}
-        near &= (env["mx"] - F.col("tmax") <= r) & (F.col("tmin") - env["mn"] <= r)
-        near &= env["fmx"].isNull() | (
-            (F.col("tmax") - env["fmx"] <= r) & (env["fmn"] - F.col("tmin") <= r)
+    long_enough = F.col("n") > F.col("last")
+    if not per_block:
+        return long_enough & (F.col("q_lo") - F.col("tmax") <= r) & (F.col("tmax") - F.col("q_hi") <= r)
+    env = {name: F.col(f"env.{name}") for name in ("mx", "mn", "fmx", "fmn")}
+    return (
+        long_enough
+        & (env["mx"] - F.col("tmax") <= r)
+        & (F.col("tmin") - env["mn"] <= r)
+        & (
+            env["fmx"].isNull()
+            | ((F.col("tmax") - env["fmx"] <= r) & (env["fmn"] - F.col("tmin") <= r))
         )
-    else:
-        near &= (F.col("q_lo") - F.col("tmax") <= r) & (F.col("tmax") - F.col("q_hi") <= r)
-    if block_filter:
-        near &= block_bound(index) <= r
-    return stored.join(small, near).drop(F.col("q.tb"))
+    )
 
 
 def block_bound(index: BlockIndex | UnstoredIndex) -> Column:
@@ -195,42 +204,50 @@ def block_bound(index: BlockIndex | UnstoredIndex) -> Column:
     return value_blocks_bound(F.col("vb"), F.col("qvb"), -(-index.t_len // index.v_len))
 
 
-def block_distances(
-    candidates: DataFrame, rows: list[dict], prune: bool = False
-) -> DataFrame:
+def block_distances(candidates: DataFrame, rows: list[dict], prune: bool = False) -> DataFrame:
     """``(qid, id, n_tb, d)``: distance of each candidate block over the queried positions.
 
-    ``prune=True`` leaves out blocks farther than the radius.
+    ``candidates`` holds ``(qid, tb, id, seg)``.  ``prune=True`` leaves out blocks farther
+    than the radius.
     """
     points = {
-        r["qb"]: (r["qid"], r["n_tb"], r["offs"], r["vals"], r["radius"] if prune else inf) for r in rows
+        (r["qid"], r["tb"]): (r["n_tb"], r["offs"], r["vals"], r["radius"] if prune else inf) for r in rows
     }
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            qb, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            flat, offsets = flat_lists(batch.column(2))
-            for b in np.unique(qb):
-                qid, n_tb, offs, vals, limit = points[b]
-                mine = np.flatnonzero(qb == b)
-                matrix = _gather(flat, offsets, mine, offs)
+            qids, tbs, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            flat, offsets = flat_lists(batch.column(3))
+            for rows_here in _runs(qids, tbs):
+                qid, tb = int(qids[rows_here[0]]), int(tbs[rows_here[0]])
+                n_tb, offs, vals, limit = points[qid, tb]
+                matrix = _gather(flat, offsets, rows_here, offs)
                 near, d = distances(matrix, vals, limit)
                 n = len(near)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, qid, dtype=np.int64)),
-                        pa.array(ids[mine][near]),
+                        pa.array(ids[rows_here][near]),
                         pa.array(np.full(n, n_tb, dtype=np.int32)),
                         pa.array(d),
                     ],
                     names=["qid", "id", "n_tb", "d"],
                 )
 
-    return candidates.select("qb", "id", "seg").mapInArrow(
+    return candidates.select("qid", "tb", "id", "seg").mapInArrow(
         kernel, "qid BIGINT, id BIGINT, n_tb INT, d DOUBLE"
     )
 
 
+def _runs(qids: np.ndarray, tbs: np.ndarray) -> list[np.ndarray]:
+    """Row numbers grouped by (query, time block)."""
+    if not len(qids):
+        return []
+    order = np.lexsort((tbs, qids))
+    change = (np.diff(qids[order]) != 0) | (np.diff(tbs[order]) != 0)
+    return np.split(order, np.flatnonzero(change) + 1)
+
+
 def _gather(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Matrix (position, row); every row is known to be long enough."""
     return flat[offsets[rows][None, :] + offs[:, None]]
@@ -255,6 +272,32 @@ def candidate_counts(index: BlockIndex | UnstoredIndex, rows: list[dict]) -> Dat
     )
 
 
+def most_selective(sample: BlockIndex | UnstoredIndex, rows: list[dict]) -> list[dict]:
+    """For each query the block that fewest series of a sample are in range of."""
+    # At most one row per query block comes back.
+    counts = block_candidates(sample, rows).groupBy("qid", "tb").count().collect()
+    found = {(r.qid, r.tb): r["count"] for r in counts}
+    best: dict[int, dict] = {}
+    for row in rows:
+        share = found.get((row["qid"], row["tb"]), 0)
+        if row["qid"] not in best or share < found.get((row["qid"], best[row["qid"]]["tb"]), 0):
+            best[row["qid"]] = row
+    return list(best.values())
+
+
+def blocks_of(index: BlockIndex, rows: list[dict], pairs: DataFrame, block_filter: bool) -> DataFrame:
+    """Candidate blocks as ``(qid, tb, id, seg)``, for known (qid, id) pairs only.
+
+    ``pairs`` is broadcast; the caller has checked its size.
+    """
+    stored = index.blocks.filter(scan_filter(rows)).drop("tb_dir")
+    found = stored.join(F.broadcast(pairs), "id").alias("b")
+    near = (F.col("b.qid") == F.col("q.qid")) & (F.col("b.tb") == F.col("q.tb")) & _in_range()
+    if block_filter:
+        near &= block_bound(index) <= F.col("radius")
+    return found.join(_broadcast_rows(index, rows), near).select("b.qid", "b.tb", "id", "seg")
+
+
 def complete_candidates(measured: DataFrame) -> DataFrame:
     """``(qid, id, dist)`` of the ids present in every queried time block."""
     return (

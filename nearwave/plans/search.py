@@ -17,6 +17,12 @@ from nearwave.operators.radius import (
 from nearwave.operators.scan import Query, bounded_queries, scan, scan_pairs
 from nearwave.operators.topk import top_k
 from nearwave.sources.tables import BlockIndex, UnstoredIndex
+from nearwave.workdir import new_folder
+
+
+# (query, series) pairs left by the most selective block that are broadcast to read the other
+# blocks for them; with more, all blocks are compared in one pass.
+MAX_BROADCAST_PAIRS = 4_000_000
 
 
 class TooManyQueries(ValueError):
@@ -79,9 +85,23 @@ def search_within(
     the answer's.
     """
     rows = ranges.query_block_rows(queries, index, radius)
-    candidates = ranges.block_candidates(index, rows, block_filter=block_filter)
+    # First only the block of each query that the sample shows to be most selective, without
+    # its values: the sort order lets the scan skip most of it.  The other blocks are then
+    # read for the few series it leaves.
+    trial = UnstoredIndex(index.sample, index.t_len, index.v_len, index.uniform_len)
+    anchors = ranges.most_selective(trial, rows)
+    first = ranges.block_candidates(index, anchors, block_filter=block_filter)
     if exclude_self:
-        candidates = candidates.filter(F.col("id") != F.col("qid"))
+        first = first.filter(F.col("id") != F.col("qid"))
+    folder = new_folder(index.spark, "candidates")
+    first.select("qid", "id").write.parquet(folder)
+    pairs = index.spark.read.schema("qid BIGINT, id BIGINT").parquet(folder)
+    if pairs.count() <= MAX_BROADCAST_PAIRS:
+        candidates = ranges.blocks_of(index, rows, pairs, block_filter)
+    else:
+        candidates = ranges.block_candidates(index, rows, block_filter=block_filter)
+        if exclude_self:
+            candidates = candidates.filter(F.col("id") != F.col("qid"))
     return ranges.complete_candidates(ranges.block_distances(candidates, rows, prune_distance))
 
 
