@@ -23,6 +23,8 @@ from nearwave.workdir import new_folder
 # (query, series) pairs left by the most selective block that are broadcast to read the other
 # blocks for them; with more, all blocks are compared in one pass.
 MAX_BROADCAST_PAIRS = 4_000_000
+# Index rows up to which one pass costs less than the jobs that would narrow it.
+ONE_PASS_BLOCKS = 2_000_000
 
 
 class TooManyQueries(ValueError):
@@ -85,9 +87,26 @@ def search_within(
     the answer's.
     """
     rows = ranges.query_block_rows(queries, index, radius)
-    # First only the block of each query that the sample shows to be most selective, without
-    # its values: the sort order lets the scan skip most of it.  The other blocks are then
-    # read for the few series it leaves.
+    pairs = None
+    if index.n_blocks > ONE_PASS_BLOCKS:
+        pairs = _selective_pairs(index, rows, block_filter, exclude_self)
+    if pairs is not None:
+        candidates = ranges.blocks_of(index, rows, pairs, block_filter)
+    else:
+        candidates = ranges.block_candidates(index, rows, block_filter=block_filter)
+        if exclude_self:
+            candidates = candidates.filter(F.col("id") != F.col("qid"))
+    return ranges.complete_candidates(ranges.block_distances(candidates, rows, prune_distance))
+
+
+def _selective_pairs(
+    index: BlockIndex, rows: list[dict], block_filter: bool, exclude_self: bool
+) -> DataFrame | None:
+    """``(qid, id)`` left by the block of each query that the sample shows to be most selective.
+
+    Read without values; the sort order lets the scan skip most of that block.  None if
+    there are too many pairs to broadcast.
+    """
     trial = UnstoredIndex(index.sample, index.t_len, index.v_len, index.uniform_len)
     anchors = ranges.most_selective(trial, rows)
     first = ranges.block_candidates(index, anchors, block_filter=block_filter)
@@ -96,13 +115,7 @@ def search_within(
     folder = new_folder(index.spark, "candidates")
     first.select("qid", "id").write.parquet(folder)
     pairs = index.spark.read.schema("qid BIGINT, id BIGINT").parquet(folder)
-    if pairs.count() <= MAX_BROADCAST_PAIRS:
-        candidates = ranges.blocks_of(index, rows, pairs, block_filter)
-    else:
-        candidates = ranges.block_candidates(index, rows, block_filter=block_filter)
-        if exclude_self:
-            candidates = candidates.filter(F.col("id") != F.col("qid"))
-    return ranges.complete_candidates(ranges.block_distances(candidates, rows, prune_distance))
+    return pairs if pairs.count() <= MAX_BROADCAST_PAIRS else None
 
 
 def knn_within_radius(

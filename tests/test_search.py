@@ -30,6 +30,12 @@ SHAPES = {
 }
 
 
+@pytest.fixture(autouse=True)
+def narrow_first(monkeypatch):
+    """Take the way of large indexes: the most selective block first."""
+    monkeypatch.setattr(search, "ONE_PASS_BLOCKS", 0)
+
+
 def _queries(pos):
     return {i: (pos, WALKS[i][pos]) for i in (0, 3, 77, 214)}
 
