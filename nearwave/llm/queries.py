@@ -8,23 +8,115 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearwave.llm.common import table
 from nearwave.llm.compression_rules import quality_rules
+from nearwave.llm.decontaminate import leaks
+from nearwave.llm.line_dedup import line_report
+from nearwave.llm.ordinal_quality import quality_classifier
+from nearwave.llm.piece_sampling import piece_digest
+from nearwave.llm.pii import personal_data, span_digest
 from nearwave.llm.simhash_dedup import near_duplicates
+from nearwave.llm.tag_paths import main_texts
+from nearwave.llm.token_file import token_digest
+from nearwave.llm.warc import archive_round_trip
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(personal_data(table(spark, sf_dir, "documents")))
+
+
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_decontamination,
+    op2_compression_rules,
+    op3_piece_sampling,
+    op4_simhash_dedup,
+    op5_ordinal_quality,
+    op6_pii,
+    op7_warc_index,
+    op8_tag_paths,
+    op9_token_file,
+    op10_line_dedup,
+)
+
+OP7_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as digest,
+         octet_length(encode(coalesce(html, ''))) as n
+  from pages),
+first as (
+  select digest, min(page_id) as first from p where n >= 100 group by digest having count(*) > 1)
+select page_id, n as payload_bytes, p.digest as payload_digest,
+       case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from p left join first on p.digest = first.digest
+"""
+
+OP10_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, source, text from documents),
+lines as (
+  select r, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k
+  from d where text is not null),
+bare as (
+  select *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as b from lines),
+totals as (select source, count(*) as site_pages from documents group by source),
+counts as (
+  select source, b, count(distinct r) as pages from bare where b <> '' group by source, b),
+bad as (
+  select c.source, b from counts c join totals t on c.source is not distinct from t.source
+  where pages >= 10 and pages > 0.05 * site_pages),
+marked as (
+  select bare.*, bad.b is not null as dropped
+  from bare left join bad on bare.source is not distinct from bad.source and bare.b = bad.b),
+joined as (
+  select r, sum(case when dropped then 1 else 0 end) as n_dropped, count(*) as n,
+         coalesce(string_agg(line, chr(10) order by k) filter (where not dropped), '') as text
+  from marked group by r)
+select d.doc_id, d.source,
+       cast(case when d.text is null then 0 when joined.text = '' then 1 else n - n_dropped end as bigint) as n_lines_left,
+       cast(coalesce(n_dropped, 0) as bigint) as n_dropped,
+       case when d.text is null then null else joined.text end as text
+from d left join joined on d.r = joined.r
+"""
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_compression_rules": op2_compression_rules,
-        "op4_simhash_dedup": op4_simhash_dedup,
-    }
+    return {query.__name__: query for query in QUERIES}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc_index": OP7_SQL, "op10_line_dedup": OP10_SQL}

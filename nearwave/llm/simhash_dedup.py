@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from nearwave.llm.common import full_text
@@ -58,7 +59,7 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-@pandas_udf("long")
+@pandas_udf(T.LongType())
 def fingerprint_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
