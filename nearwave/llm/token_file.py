@@ -1,6 +1,7 @@
 """Token ids in binary files whose document boundaries are Elias-Fano encoded.
 
-A file holds the ids of consecutive documents back to back (little-endian unsigned 32-bit), then
+A file holds the ids of consecutive documents back to back (little-endian, two bytes each if the
+vocabulary has at most 65,536 ids, else four), then
 two Elias-Fano sequences: where each document ends, and which document it is.  A sequence of n
 ascending numbers up to u takes about n (2 + log2(u / n)) bits: the low bits packed as they are,
 the high bits as unary gaps in a bit vector.  Every 256th one of the vector has its position
@@ -31,7 +32,7 @@ END_ID = 2
 MAGIC = b"IDSEF001"
 SELECT_STEP = 256
 HEADER = "<QQqQQ"  # numbers, universe, base, low bits of each, bytes of the high bits
-TRAILER = "<8sQQQQ"  # magic, ids, documents without a key, bytes of both sequences
+TRAILER = "<8sQQQQQ"  # magic, ids, bytes of an id, documents without a key, bytes of both sequences
 
 
 class EliasFano:
@@ -121,6 +122,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.type = np.dtype("<u2" if len(self.ends_word) <= 1 << 16 else "<u4")
         self.known: dict[bytes, np.ndarray] = {}
 
     def _learn(self, words: list[bytes]) -> None:
@@ -132,7 +134,7 @@ class WordEncoder:
         for start in range(0, len(plain), 1000):
             # Letters only: one token run each, so many go in one string and are parted at run ends.
             part = plain[start : start + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, self.type)
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) != len(part):
                 other += part
@@ -142,7 +144,7 @@ class WordEncoder:
             part = other[start : start + 20_000]
             found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
             for (word, _), encoding in zip(part, found):
-                known[word] = np.array(encoding.ids, np.uint32)
+                known[word] = np.array(encoding.ids, self.type)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
@@ -157,7 +159,7 @@ class WordEncoder:
         self._learn([w for w in parts if w not in known])
         for w in marked:
             known[w] = np.concatenate([known[w[:-1]], known[w[-1:]]])
-        empty = np.zeros(0, np.uint32)
+        empty = np.zeros(0, self.type)
         out = [np.concatenate([known[w] for w in words]) if words else empty for words in split]
         if len(known) > self.MAX_WORDS:
             known.clear()
@@ -190,7 +192,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 encoded = encoder.encode(texts[i:j])
                 lengths = np.array([len(e) + 1 for e in encoded], np.int64)
                 ends.append(total + np.cumsum(lengths))
-                block = np.full(int(lengths.sum()), end_id, "<u4")
+                block = np.full(int(lengths.sum()), end_id, encoder.type)
                 at = 0
                 for e in encoded:
                     block[at : at + len(e)] = e
@@ -206,7 +208,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         numbers = EliasFano.of(np.array(keys, np.int64), keys[0] if keys else 0).to_bytes()
         out.write(boundaries)
         out.write(numbers)
-        out.write(struct.pack(TRAILER, MAGIC, total, without_key, len(boundaries), len(numbers)))
+        out.write(struct.pack(TRAILER, MAGIC, total, encoder.type.itemsize, without_key, len(boundaries), len(numbers)))
         out.close()
         yield pa.RecordBatch.from_pylist(
             [{"part": TaskContext.get().partitionId(), "file": name, "n_docs": n_docs, "n_ids": total}], schema=schema
@@ -223,22 +225,25 @@ class TokenFile:
         self.source = system.open_input_file(f"{path}/{name}")
         size = self.source.size()
         n_trailer = struct.calcsize(TRAILER)
-        magic, self.n_ids, self.without_key, n_bounds, n_keys = struct.unpack(
+        magic, self.n_ids, self.width, self.without_key, n_bounds, n_keys = struct.unpack(
             TRAILER, self.source.read_at(n_trailer, size - n_trailer)
         )
         if magic != MAGIC:
             raise ValueError(f"{name} is no token file")
-        tail = self.source.read_at(n_bounds + n_keys, self.n_ids * 4)
+        tail = self.source.read_at(n_bounds + n_keys, self.n_ids * self.width)
         self.ends = EliasFano.from_bytes(tail[:n_bounds])
         self.keys = EliasFano.from_bytes(tail[n_bounds:])
 
     def __len__(self) -> int:
         return self.ends.n
 
+    def _read(self, start: int, stop: int) -> np.ndarray:
+        data = self.source.read_at((stop - start) * self.width, start * self.width)
+        return np.frombuffer(data, f"<u{self.width}").astype("<u4")
+
     def ids(self, i: int) -> np.ndarray:
         """Ids of the i-th document of the file."""
-        start = self.ends[i - 1] if i else 0
-        return np.frombuffer(self.source.read_at((self.ends[i] - start) * 4, start * 4), "<u4")
+        return self._read(self.ends[i - 1] if i else 0, self.ends[i])
 
     def documents(self, block: int = 4_000_000) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
         """Runs of documents: their keys, their ends in the file, and their ids back to back."""
@@ -248,7 +253,7 @@ class TokenFile:
         while i < len(ends):
             j = max(i + 1, int(np.searchsorted(ends, start + block, "right")))
             stop = int(ends[j - 1])
-            yield keys[i:j], ends[i:j], np.frombuffer(self.source.read_at((stop - start) * 4, start * 4), "<u4")
+            yield keys[i:j], ends[i:j], self._read(start, stop)
             i, start = j, stop
 
 
