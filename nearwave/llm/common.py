@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(
-    df: DataFrame, convert: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, arrow_schema: pa.Schema
-) -> DataFrame:
-    """``convert`` yields columns (name -> list or array) for each Arrow batch of ``df``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in convert(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[field.name], field.type) for field in arrow_schema], schema=arrow_schema
-                )
-
-    return df.mapInArrow(run, schema)
-
-
 def text_runs(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
     """Cuts a batch into runs of rows [i, j) of about ``limit`` characters, one row at least."""
     start = size = 0
@@ -45,6 +31,17 @@ def text_runs(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def per_process(name: str, make: Callable[[], object]) -> object:
+    """The object ``make`` gives, made once in a Python worker and kept for its later tasks.
+
+    Functions reach workers by value, so a module's own variables do not last from task to task.
+    """
+    kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def full_text(name: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

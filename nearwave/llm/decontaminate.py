@@ -16,6 +16,7 @@ before they meet the items, so a passage that a third of the documents share is
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ BLOCKS = 4
 BLOCK_BITS = 16
 #: A window is looked at if this share of its shingles hits, at its alignment.
 LEAST_HITS = 1 / 3
-#: Broadcast of the benchmark's shingles up to so many rows of 24 bytes; beyond it they are joined by a shuffle.
+#: Rows of 24 bytes of the benchmark's shingles that are broadcast at a time.
 BROADCAST_ROWS = 4_000_000
 
 
@@ -54,22 +55,24 @@ def shingles(words: Column) -> Column:
     return F.transform(_starts(words), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE_WORDS), " "))
 
 
-def fingerprint_blocks(words: Column) -> Column:
-    """SimHash of the words: four blocks of 16 bits; a bit is set if over half of the words have it."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    ones = F.transform(
-        F.sequence(F.lit(0), F.lit(BLOCKS * BLOCK_BITS - 1)),
-        lambda k: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.call_function("getbit", h, k).cast("int")),
-    )
-    half = F.size(words)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(BLOCKS - 1)),
-        lambda b: F.aggregate(
-            F.sequence(F.lit(0), F.lit(BLOCK_BITS - 1)),
-            F.lit(0),
-            lambda bits, k: bits + F.when(F.get(ones, b * BLOCK_BITS + k) * 2 > half, F.pow(2, k).cast("int")).otherwise(0),
-        ),
-    )
+def with_blocks(rows: DataFrame, words: str, names: list[str]) -> DataFrame:
+    """Different rows of ``rows`` with their SimHash as blocks of 16 bits, in columns ``names``.
+
+    A bit is set if over half of the words' hashes have it, words counted as often as they occur.
+    """
+    keys = rows.columns
+    hashed = rows.select(*keys, F.explode(words).alias("_word")).select(*keys, F.xxhash64("_word").alias("_hash"))
+    ones = [F.sum(F.shiftright("_hash", k).bitwiseAND(1)).alias(f"_ones{k}") for k in range(BLOCKS * BLOCK_BITS)]
+    counted = hashed.groupBy(*keys).agg(F.count("*").alias("_words"), *ones)
+
+    def block(b: int) -> Column:
+        bits = [
+            F.when(2 * F.col(f"_ones{b * BLOCK_BITS + k}") > F.col("_words"), 1 << k).otherwise(0)
+            for k in range(BLOCK_BITS)
+        ]
+        return sum(bits[1:], bits[0])
+
+    return counted.select(*keys, *[block(b).alias(name) for b, name in enumerate(names)])
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -90,26 +93,31 @@ def _near_masks(bits: int) -> Column:
     return F.array(*map(F.lit, masks))
 
 
-def _hits(docs: DataFrame, places: DataFrame, broadcast: bool) -> DataFrame:
-    """Windows (row, key columns, start, n, words, hits) where an item's text would lie."""
-    split = docs.select("doc_id", "text_hash", "row", words_of(F.col("text")).alias("words"))
+def _hits(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, start, words): a row per hit and window that it would lie in."""
+    # The one-element explode keeps the planner from splitting the text anew for every shingle.
+    split = docs.select("doc_id", "text_hash", F.explode(F.array(words_of(F.col("text")))).alias("words"))
     hashed = split.withColumn("hashes", F.transform(_starts(F.col("words")), lambda i: _shingle_hash(F.col("words"), i)))
-    each = hashed.select("doc_id", "text_hash", "row", "words", F.posexplode("hashes").alias("pos", "shingle"))
-    if not broadcast:
-        # Words stay behind: only positions are shuffled, and the few that hit fetch their words by row.
-        hit = each.select("row", "pos", "shingle").join(places, "shingle").drop("shingle")
-        each = split.join(hit, "row")
-    else:
-        each = each.join(F.broadcast(places), "shingle")
+    each = hashed.select("doc_id", "text_hash", "words", F.posexplode("hashes").alias("pos", "shingle"))
     start = F.col("pos") - F.col("offset")
-    inside = each.filter((start >= 0) & (start + F.col("n") <= F.size("words")))
+    hit = each.join(F.broadcast(places), "shingle").filter((start >= 0) & (start + F.col("n") <= F.size("words")))
+    return hit.select("doc_id", "text_hash", "n", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("words"))
+
+
+def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, n, words) of the windows with enough hits at their alignment.
+
+    Places are broadcast up to ``BROADCAST_ROWS`` at a time: a larger benchmark takes more scans
+    of the documents, never a shuffle of them.
+    """
+    parts = -(-places.count() // BROADCAST_ROWS) or 1
+    hits = [_hits(docs, places.filter(F.pmod("shingle", F.lit(parts)) == part)) for part in range(parts)]
     return (
-        inside.select(
-            "doc_id", "text_hash", "row", "n", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("words")
-        )
-        .groupBy("doc_id", "text_hash", "row", "start", "n")
+        reduce(DataFrame.unionAll, hits)
+        .groupBy("doc_id", "text_hash", "start", "n")
         .agg(F.count("*").alias("hits"), F.first("words").alias("words"))
         .filter(F.col("hits") >= LEAST_HITS * (F.col("n") - SHINGLE_WORDS + 1))
+        .drop("hits")
     )
 
 
@@ -136,32 +144,36 @@ def contaminated(
         _shingle_hash(F.col("item_words"), F.col("i")).alias("shingle"), "offset", "n"
     ).distinct().write.parquet(f"{folder}/places")
     places = spark.read.parquet(f"{folder}/places")
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
-    _hits(rows, places, places.count() <= BROADCAST_ROWS).write.parquet(f"{folder}/windows")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    _windows(rows, places).write.parquet(f"{folder}/windows")
     windows = spark.read.parquet(f"{folder}/windows").withColumn("content", F.xxhash64("words", "n"))
 
-    different = windows.groupBy("words", "content", "n").agg(F.count("*").alias("copies"))
-    asked = different.withColumn("blocks", fingerprint_blocks(F.col("words"))).select(
-        "content", "words", "n", "blocks", F.posexplode("blocks").alias("block", "value")
-    )
-    entered = items.withColumn("item_blocks", fingerprint_blocks(F.col("item_words"))).select(
-        "item_id", "item_words", "n", "item_blocks", F.posexplode("item_blocks").alias("block", "own")
+    own, theirs = [f"own{b}" for b in range(BLOCKS)], [f"item{b}" for b in range(BLOCKS)]
+    asked = with_blocks(windows.select("words", "n").distinct(), "words", own).select(
+        "words", "n", shingles(F.col("words")).alias("shingles"), *own, F.posexplode(F.array(*own)).alias("block", "value")
     )
-    entered = entered.withColumn("mask", F.explode(_near_masks(radius // BLOCKS))).withColumn(
-        "value", F.col("own").bitwiseXOR(F.col("mask"))
-    )
-    apart = F.transform(F.arrays_zip("blocks", "item_blocks"), lambda z: F.bit_count(z["blocks"].bitwiseXOR(z["item_blocks"])))
-    near = (
-        asked.join(entered.drop("own", "mask"), ["n", "block", "value"])
-        .withColumn("apart", apart)
-        .filter(F.aggregate("apart", F.lit(0), lambda a, x: a + x) <= radius)
-        # A pair may meet in several blocks; the first of them counts.
-        .filter(F.col("block") == F.array_position(F.transform("apart", lambda x: x <= radius // BLOCKS), True) - 1)
+    entered = (
+        with_blocks(items, "item_words", theirs)
+        .select(
+            "item_id",
+            "n",
+            shingles(F.col("item_words")).alias("item_shingles"),
+            *theirs,
+            F.posexplode(F.array(*theirs)).alias("block", "exact"),
+        )
+        .withColumn("mask", F.explode(_near_masks(radius // BLOCKS)))
+        .withColumn("value", F.col("exact").bitwiseXOR(F.col("mask")))
+        .drop("exact", "mask")
     )
+    apart = [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(own, theirs)]
+    # A pair may meet in several blocks; the first of them counts.
+    first = F.coalesce(*[F.when(apart[b] <= radius // BLOCKS, b) for b in range(BLOCKS)])
     matches = (
-        near.withColumn("similarity", similarity(shingles(F.col("words")), shingles(F.col("item_words"))))
+        asked.join(entered, ["n", "block", "value"])
+        .filter((sum(apart[1:], apart[0]) <= radius) & (F.col("block") == first))
+        .withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles")))
         .filter(F.col("similarity") >= least)
-        .select("content", F.col("words").alias("match_words"), "item_id", "similarity")
+        .select(F.xxhash64("words", "n").alias("content"), F.col("words").alias("match_words"), "item_id", "similarity")
     )
     return (
         windows.join(matches, "content")

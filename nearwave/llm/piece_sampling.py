@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwave.llm.common import text_runs
+from nearwave.llm.common import per_process, text_runs
 
 MODEL_FILE = "piece_bpe_32k.model"
 #: Scores are minus the rank of a merge; at this scale one step of 1000 ranks costs a factor e.
@@ -35,6 +35,8 @@ THETA = 0.001
 SEED = 17
 #: Characters whose lattices are held at a time.
 RUN_CHARS = 2_000_000
+#: Bits of a draw.
+DRAW_BITS = 32
 SPACE = "▁"
 _WORDS = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -89,8 +91,8 @@ class Lattices:
     """The filtered lattices of many words; places are numbered over all of them.
 
     Word w has the places first[w] .. first[w] + length[w].  Edges are sorted by the place
-    where they end; ``cumulative`` is, at each edge, the place's number among all places plus
-    the share of the paths to it that come by this edge or an earlier one.
+    where they end; ``cumulative`` is, at each edge, the place's number and, in its low bits, the
+    share of the paths to it that come by this edge or an earlier one.
     """
 
     def __init__(self, words: list[str], pieces: Pieces):
@@ -151,15 +153,18 @@ class Lattices:
             sums = np.add.reduceat(parts, heads)
             total[here] = most + np.log(sums)
             share[edges] = parts / np.repeat(sums, count)
-        running = np.cumsum(share)
-        before = np.concatenate([[0.0], running])[edge0[end]]
-        self.cumulative = end + (running - before)
+        # Shares add up place by place, so that no sum depends on which other words are here.
+        rank = np.arange(len(end)) - edge0[end]
+        for k in range(1, int(rank.max(initial=0)) + 1):
+            later = np.flatnonzero(rank == k)
+            share[later] += share[later - 1]
+        self.cumulative = (end << DRAW_BITS) + np.floor(share * (1 << DRAW_BITS)).astype(np.int64)
         self.total = total
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge that ends at each place, for u in [0, 1)."""
-        edge = np.searchsorted(self.cumulative, place + u, "right")
-        return np.clip(edge, self.edge0[place], self.edge0[place] + self.n_edges[place] - 1)
+        """An edge that ends at each place, for whole numbers u below 2^DRAW_BITS."""
+        edge = np.searchsorted(self.cumulative, (place << DRAW_BITS) + u, "right")
+        return np.minimum(edge, self.edge0[place] + self.n_edges[place] - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -198,7 +203,7 @@ def encode(texts: list[str], keys: np.ndarray, pieces: Pieces, seed: int) -> lis
     while len(active):
         at = place[active]
         u = _mixed(row_hash[active] + (at + offset[active]).astype(np.uint64) * _MIX[0])
-        edge = lattices.draw(at, (u >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+        edge = lattices.draw(at, (u >> np.uint64(64 - DRAW_BITS)).astype(np.int64))
         drawn.append((active, lattices.piece[edge]))
         steps[active] += 1
         place[active] = lattices.begin[edge]
@@ -255,7 +260,7 @@ def with_pieces(
     result = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("array<int>").alias("piece_ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, theta)
+        pieces = per_process(f"pieces of {path} at {theta}", lambda: Pieces(path, theta))
         for batch in batches:
             for i, j, _, ids in _encoded(batch, pieces, seed):
                 rows = batch.slice(i, j - i)
@@ -273,7 +278,7 @@ def with_text(pieces: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
 
     @F.pandas_udf("string")
     def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = Pieces(path, THETA)
+        table = per_process(f"pieces of {path} at {THETA}", lambda: Pieces(path, THETA))
         for rows in batches:
             yield pd.Series([None if ids is None else decode(ids, table) for ids in rows])
 
@@ -294,7 +299,7 @@ def piece_digest(docs: DataFrame, model_file: str = MODEL_FILE, theta: float = T
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, theta)
+        pieces = per_process(f"pieces of {path} at {theta}", lambda: Pieces(path, theta))
         for batch in batches:
             for i, j, texts, ids in _encoded(batch, pieces, seed):
                 columns = [

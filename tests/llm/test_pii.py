@@ -1,0 +1,86 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from nearwave.llm.pii import find_spans, luhn, mod97, personal_data, span_digest
+from tests.llm.conftest import ODD_TEXTS
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_base(text):
+    """The base spans, by the patterns as they are given."""
+    found = []
+    for order, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda: 12 <= len(digits) <= 19 and luhn(digits),
+                "phone": lambda: 9 <= len(digits) <= 15,
+            }[kind]()
+            if good:
+                found.append((m.start(), order, m.end(), kind))
+    return [(kind, start, end) for start, order, end, kind in sorted(found)]
+
+
+FIXED = [
+    "mail a.b@x.y.z, c@d, @e.f, g@h.i@j.k.l and m@@n.o -@-.-",
+    "ip 1.2.3.4.5.6.7.8 and 256.1.1.1 and 001.02.3.255 and 1.2.3 .4.5.6.7",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112 and 4111  1111 378282246310005 5",
+    "phone +1 (988) 555-2485 4524132264652876 +12 34 +49.(0)30-123456-. end +1((((((",
+    "é\U0001f600 a@b.co ﬁ 10.0.0.1",
+]
+
+
+@pytest.mark.parametrize("text", FIXED)
+def test_base_spans_on_fixed_texts(text):
+    assert [(k, s, e) for k, s, e, _ in find_spans(text) if k in PATTERNS] == plain_base(text)
+
+
+def test_base_spans_on_random_texts():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choices("ab1234567890..@@--+ ()\n%é", k=rng.randint(0, 60)))
+        assert [(k, s, e) for k, s, e, _ in find_spans(text) if k in PATTERNS] == plain_base(text), text
+
+
+def test_checksums():
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+    assert mod97("DE89370400440532013000") and not mod97("DE89370400440532013001")
+
+
+def test_further_kinds_need_checks_or_context():
+    kinds = lambda text: [k for k, *_ in find_spans(text) if k not in PATTERNS]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00 AND MORE") == ["iban"]
+    assert find_spans("DE89 3704 0044 0532 0130 00 END")[0][:3] == ("iban", 0, 27)
+    assert kinds("IBAN DE89 3704 0044 0532 0130 01") == []
+    assert kinds("my SSN is 078-05-1120.") == ["national_id"] and kinds("part 078-05-1120") == []
+    assert kinds("dummy example ssn 078-05-1120") == []
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "a@" * 150_000, "A" * 300_000):
+        find_spans(text)
+
+
+def test_digest(docs_of):
+    texts = ODD_TEXTS + FIXED
+    found = personal_data(docs_of(texts).selectExpr("*", "1 AS spans"))
+    rows = {r.doc_id: r for r in span_digest(found).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        base = plain_base(text)
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert rows[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert rows[i].n_email == sum(k == "email" for k, *_ in base)
+        assert rows[i].spans == ",".join(f"{k}:{s}:{e}" for k, s, e, _ in find_spans(text or ""))
+    assert span_digest(personal_data(docs_of(texts).limit(0))).count() == 0
