@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearwave.llm.common import full_text, text_runs
+from nearwave.llm.common import full_text, per_process, text_runs
 from nearwave.llm.files import new_file, open_folder
 from nearwave.workdir import new_folder
 
@@ -112,7 +112,7 @@ class WordEncoder:
     one keeps its case.
     """
 
-    MAX_WORDS = 400_000
+    MAX_WORDS = 600_000
     MARKS = b".,;:!?"
 
     def __init__(self, path: str):
@@ -123,10 +123,10 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.type = np.dtype("<u2" if len(self.ends_word) <= 1 << 16 else "<u4")
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        known = self.known
+        known, width = self.known, self.type.itemsize
         plain, other = [], []
         for word in words:
             text = word.decode()
@@ -135,18 +135,20 @@ class WordEncoder:
             # Letters only: one token run each, so many go in one string and are parted at run ends.
             part = plain[start : start + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, self.type)
-            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            stops = ((np.flatnonzero(self.ends_word[ids]) + 1) * width).tolist()
             if len(stops) != len(part):
                 other += part
                 continue
-            known.update(zip((w for w, _ in part), np.split(ids, stops[:-1])))
+            data = ids.tobytes()
+            known.update(zip((w for w, _ in part), map(data.__getitem__, map(slice, [0, *stops], stops))))
         for start in range(0, len(other), 20_000):
             part = other[start : start + 20_000]
             found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
             for (word, _), encoding in zip(part, found):
-                known[word] = np.array(encoding.ids, self.type)
+                known[word] = np.array(encoding.ids, self.type).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of an array of ``type``."""
         known = self.known
         split = []
         for text in texts:
@@ -154,16 +156,15 @@ class WordEncoder:
             lowered = data.lower()
             split.append((data if any(s in lowered for s in self.special) else lowered).split())
         new = set().union(*split) - known.keys()
+        if len(known) + len(new) > self.MAX_WORDS:
+            known.clear()
+            new = set().union(*split)
         marked = {w for w in new if w[-1] in self.MARKS and w[:-1].isalnum()}
         parts = (new - marked) | {w[:-1] for w in marked} | {w[-1:] for w in marked}
         self._learn([w for w in parts if w not in known])
         for w in marked:
-            known[w] = np.concatenate([known[w[:-1]], known[w[-1:]]])
-        empty = np.zeros(0, self.type)
-        out = [np.concatenate([known[w] for w in words]) if words else empty for words in split]
-        if len(known) > self.MAX_WORDS:
-            known.clear()
-        return out
+            known[w] = known[w[:-1]] + known[w[-1:]]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -186,19 +187,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in text_runs(texts, 4_000_000):
                 if encoder is None:
-                    encoder = WordEncoder(tokenizer)
+                    encoder = per_process(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
+                    end = np.array([end_id], encoder.type).tobytes()
                     system, path, name = new_file(folder, "ids", ".bin")
                     out = system.open_output_stream(path)
                 encoded = encoder.encode(texts[i:j])
-                lengths = np.array([len(e) + 1 for e in encoded], np.int64)
+                lengths = np.array([len(e) // len(end) + 1 for e in encoded], np.int64)
                 ends.append(total + np.cumsum(lengths))
-                block = np.full(int(lengths.sum()), end_id, encoder.type)
-                at = 0
-                for e in encoded:
-                    block[at : at + len(e)] = e
-                    at += len(e) + 1
-                out.write(block.tobytes())
-                total += len(block)
+                out.write(end.join([*encoded, b""]))
+                total += int(lengths.sum())
                 without_key += sum(k is None for k in ids[i:j])
                 keys += [k for k in ids[i:j] if k is not None]
         if out is None:
