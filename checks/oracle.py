@@ -365,6 +365,14 @@ _VECTOR_QUERY = _with(VECTORS, QUERIES, PAIRS)
 def all_sql() -> dict[str, str]:
     lengths = f"""select id, cast(count(*) filter (v > 0) as integer) as n from s group by id"""
     return {
+        "damaged_text": _with(SPEND)
+        + """select id, pos, v, true as good from s where id % 7 > 2 union all
+select distinct id, cast(null as integer), cast(null as double), false from s where id % 7 <= 2""",
+        "envelope_text_roundtrip": _with(SPEND, ENVELOPE, _sampled_ids("smp"))
+        + "select smax, smin from env where id in (select id from smp)",
+        "clean_text_job": _with(_daily(P.OBSERVED_ABOVE), INTERPOLATED)
+        + "select id, pos, v from filled where n_obs > 0",
+        "augment_text_job": _with(SPEND, AUGMENTED_ROWS) + "select id, pos, v from grown",
         "series_text_roundtrip": _with(SPEND) + "select id, pos, v from s",
         "query_points": _with(SPEND, ALL_SPARSE) + "select qid, pos, v from q",
         "series_by_id": _with(SPEND) + "select id, pos, v from s",
@@ -413,6 +421,8 @@ where n <> (select arg_min(n, id) from l)""",
             "(select p.* from pairs p join whole using (qid, id) join need using (qid) where n_passed = n_tb)"
         ),
         "knn_join": _with(SPEND, ALL_QUERIES, PAIRS) + _top("pairs"),
+        "knn_scan_many": _with(SPEND, ALL_QUERIES, PAIRS) + _top("pairs"),
+        "knn_index_many": _with(SPEND, ALL_QUERIES, PAIRS) + _top("pairs"),
         "knn_filtered_scan": _with(SPEND, QUERIES, PAIRS, ESTIMATED, FILTERED_PAIRS) + _top("fp"),
         "knn_unfiltered_scan": _SPEND_QUERY + _top("pairs"),
         "knn_radius": _VECTOR_QUERY

@@ -18,7 +18,7 @@ from nearwave.functions.distance import (
 from nearwave.operators import blocks, prepare, profile, ranges, sampling
 from nearwave.operators.radius import estimated_radius, sample_radius, sample_rank
 from nearwave.operators.topk import answer_radius
-from nearwave.plans import search, sweeps
+from nearwave.plans import jobs, search, sweeps
 from nearwave.plans.join import knn_join as join_all
 from nearwave.sources import tables, text
 from nearwave.workdir import new_folder
@@ -121,7 +121,54 @@ def series_text_roundtrip(spark, sf_dir):
 
 def query_points(spark, sf_dir):
     queries = _growth_points(blocks.as_queries(spend(spark, sf_dir)))
-    return blocks.query_points(text.parse_query_points(text.format_query_points(queries)))
+    parsed, _ = text.parse_query_points(text.format_query_points(queries))
+    return blocks.query_points(parsed)
+
+
+def damaged_text(spark, sf_dir):
+    """Series text in which one line in seven is damaged, parsed: good points and rejected lines alike."""
+    path = new_folder(spark, "damaged")
+    lines = text.format_series(spend(spark, sf_dir)).select(
+        F.split("value", "\t")[0].cast("bigint").alias("id"), "value"
+    )
+    kind = F.col("id") % 7
+    damaged = (
+        F.when(kind == 0, F.concat("value", F.lit(",x")))
+        .when(kind == 1, F.concat("value", F.lit(",Infinity")))
+        .when(kind == 2, F.concat(F.lit("n"), "value"))
+        .otherwise(F.col("value"))
+    )
+    lines.select(damaged.alias("value")).write.text(path)
+    series, rejects = text.read_series_text(spark, path)
+    good = blocks.points(series).select("id", "pos", "v", F.lit(True).alias("good"))
+    bad = rejects.select(
+        F.regexp_extract("value", "[0-9]+", 0).cast("bigint").alias("id"),
+        F.lit(None).cast("int").alias("pos"),
+        F.lit(None).cast("double").alias("v"),
+        F.lit(False).alias("good"),
+    )
+    return good.unionByName(bad)
+
+
+def envelope_text_roundtrip(spark, sf_dir):
+    path = new_folder(spark, "envelopes-text")
+    jobs.sample_envelopes(spend(spark, sf_dir), path, P.SAMPLE_NUM, P.SAMPLE_SEED, text=True)
+    return text.read_envelopes_text(spark, path)
+
+
+def clean_text_job(spark, sf_dir):
+    folder = new_folder(spark, "clean-job")
+    text.write_series_text(fixtures.daily_values(spark, sf_dir, P.OBSERVED_ABOVE), f"{folder}/in")
+    jobs.clean_text(spark, f"{folder}/in", f"{folder}/out")
+    cleaned, _ = text.read_series_text(spark, f"{folder}/out")
+    return blocks.points(cleaned)
+
+
+def augment_text_job(spark, sf_dir):
+    prefix = f"{new_folder(spark, 'augment-job')}/spend"
+    path = jobs.augment_text(spend(spark, sf_dir), prefix, P.AUGMENT_SIZE, 0, P.NOISE_SEED)
+    grown, _ = text.read_series_text(spark, path)
+    return blocks.points(grown)
 
 
 def series_by_id(spark, sf_dir):
@@ -261,6 +308,17 @@ def knn_join(spark, sf_dir):
     return join_all(series, blocks.as_queries(series), P.K, spend_index(spark, sf_dir))
 
 
+def knn_scan_many(spark, sf_dir):
+    """Every series as a query of the full scan."""
+    series = spend(spark, sf_dir)
+    return search.knn_scan(series, blocks.as_queries(series), P.K)
+
+
+def knn_index_many(spark, sf_dir):
+    """Every series as a query of the index search."""
+    return search.knn_index(spend_index(spark, sf_dir), blocks.as_queries(spend(spark, sf_dir)), P.K)
+
+
 def knn_filtered_scan(spark, sf_dir):
     index, queries = spend_index(spark, sf_dir), _spend_queries(spark, sf_dir)
     radius = search.envelope_radius(index, queries, P.K, P.SAMPLE_NUM)
@@ -416,6 +474,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "series_text_roundtrip": series_text_roundtrip,
         "query_points": query_points,
+        "damaged_text": damaged_text,
+        "envelope_text_roundtrip": envelope_text_roundtrip,
+        "clean_text_job": clean_text_job,
+        "augment_text_job": augment_text_job,
         "series_by_id": series_by_id,
         "block_index": block_index,
         "time_blocks": time_blocks,
@@ -440,6 +502,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_sparse_positions": knn_sparse_positions,
         "knn_within_radius": knn_within_radius,
         "knn_join": knn_join,
+        "knn_scan_many": knn_scan_many,
+        "knn_index_many": knn_index_many,
         "knn_filtered_scan": knn_filtered_scan,
         "knn_unfiltered_scan": knn_unfiltered_scan,
         "knn_radius": knn_radius,

@@ -14,11 +14,6 @@ def chebyshev(a: Column, b: Column) -> Column:
     ).otherwise(F.raise_error(F.lit("series lengths differ")).cast("double"))
 
 
-def chebyshev_at(v: Column, pos: Column, q: Column) -> Column:
-    """Largest absolute difference at the given positions of ``v``."""
-    return F.array_max(F.zip_with(pos, q, lambda p, x: F.abs(F.get(v, p) - x)))
-
-
 def block_lower_bound(amax: Column, amin: Column, bmax: Column, bmin: Column) -> Column:
     """Envelope-to-envelope lower bound of the distance of two blocks over the same positions."""
     ends_a = [

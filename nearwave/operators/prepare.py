@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from nearwave.functions.arrow import flat_lists, list_column, row_of_value
 from nearwave.functions.hashing import uniform_np
 from nearwave.functions.noise import unit_normal
-from nearwave.functions.pieces import n_bounds_reached
+from nearwave.workdir import new_folder
 
 # Fixed values of the noise: decimals kept, and the floor of every value.
 DECIMAL_SCALE = 100000.0
@@ -26,9 +26,8 @@ DEFAULT_RATE = 0.1
 # Streams of random numbers that must not repeat each other.
 POINT_STREAM = 0
 RATE_STREAM = 1
-# Ids are ranked side by side in buckets of about this size, up to a number of buckets.
+# Ids are ranked side by side in buckets of about this size.
 IDS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 256
 
 
 def _fill(flat: np.ndarray, offsets: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -177,25 +176,26 @@ def augment(series: DataFrame, size: int = 0, dim: int = 0, seed: int = 0) -> Da
 def dense_rank_of_ids(ids: DataFrame, buckets: int | None = None) -> DataFrame:
     """``(id, rank)`` with ranks 1 .. N in id order, for unique ids.
 
-    Ids are cut into buckets at quantiles, ranked inside each, and shifted by the counts of
-    the buckets before.  The cuts are literals, so both passes and any re-run task agree.
+    Ids are range-partitioned into buckets of bounded size and stored with their bucket, ranked
+    inside each, and shifted by the counts of the buckets before.  Reading the stored buckets,
+    both steps and any re-run task agree on them.
     """
+    spark = ids.sparkSession
     ids = ids.select("id")
     if buckets is None:
-        buckets = min(MAX_BUCKETS, 1 + ids.count() // IDS_PER_BUCKET)
-    bounds: list[int] = []
-    if buckets > 1:
-        steps = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(ids.agg(F.percentile_approx("id", steps)).first()[0] or []))
-    placed = ids.withColumn("bucket", n_bounds_reached(F.col("id"), bounds))
-    counts = dict(placed.groupBy("bucket").count().collect())
-    before, offsets = 0, []
-    for bucket in range(len(bounds) + 1):
-        offsets.append(before)
-        before += counts.get(bucket, 0)
+        buckets = 1 + ids.count() // IDS_PER_BUCKET
+    folder = new_folder(spark, "ranks")
+    ids.repartitionByRange(buckets, "id").withColumn("bucket", F.spark_partition_id()).write.parquet(folder)
+    placed = spark.read.schema("id BIGINT, bucket INT").parquet(folder)
+    # One row for each bucket.
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select(
+        "bucket", F.coalesce(before, F.lit(0)).alias("base")
+    )
     inside = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    base = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("bucket"))
-    return placed.select("id", (base + inside).alias("rank"))
+    return placed.withColumn("inside", inside).join(offsets, "bucket").select(
+        "id", (F.col("base") + F.col("inside")).alias("rank")
+    )
 
 
 def augment_dense(series: DataFrame, size: int = 0, dim: int = 0, seed: int = 0) -> DataFrame:
@@ -203,8 +203,12 @@ def augment_dense(series: DataFrame, size: int = 0, dim: int = 0, seed: int = 0)
 
     Only ids are ranked; the series meet their rank in one join before they multiply.
     Noise depends on the old ids, so a series gets the same copies whatever its rank.
+    Empty series are left out before ranking; repeated ids are an error.
     """
-    ranked = series.select("id", "v").join(dense_rank_of_ids(series), "id")
+    usable = series.filter(F.size("v") > 0).select("id", "v")
+    if usable.groupBy("id").count().filter("count > 1").limit(1).count():
+        raise ValueError("series ids must be unique")
+    ranked = usable.join(dense_rank_of_ids(usable), "id")
     new_id = (F.col("rank") - 1) * (size + 1) + F.col("copy") + 1
     return augment(ranked, size, dim, seed).select(new_id.alias("id"), "v")
 

@@ -155,7 +155,7 @@ def scan_filter(rows: list[dict], per_block: bool = True) -> Column:
 
 
 def _broadcast_rows(index: BlockIndex | UnstoredIndex, rows: list[dict]) -> DataFrame:
-    """The query blocks as table ``q``: at most MAX_QUERIES queries, of bounded length."""
+    """The query blocks of one pack as table ``q``: a pack's points are bounded."""
     names = _QUERY_BLOCK_SCHEMA.names
     table = pa.Table.from_pylist([{n: r[n] for n in names} for r in rows], _QUERY_BLOCK_SCHEMA)
     return F.broadcast(index.spark.createDataFrame(table)).alias("q")
@@ -204,48 +204,92 @@ def block_bound(index: BlockIndex | UnstoredIndex) -> Column:
     return value_blocks_bound(F.col("vb"), F.col("qvb"), -(-index.t_len // index.v_len))
 
 
-def block_distances(candidates: DataFrame, rows: list[dict], prune: bool = False) -> DataFrame:
-    """``(qid, id, n_tb, d)``: distance of each candidate block over the queried positions.
+def near_blocks(
+    index: BlockIndex,
+    rows: list[dict],
+    block_filter: bool = True,
+    prune: bool = False,
+    exclude_self: bool = False,
+) -> DataFrame:
+    """``(qid, id, n_tb, d)``: distance over the queried positions of each block in range.
 
-    ``candidates`` holds ``(qid, tb, id, seg)``.  ``prune=True`` leaves out blocks farther
-    than the radius.
+    One pass over the stored blocks.  The query blocks travel with the tasks, which test range
+    and bound of a whole batch at once and take distances of what passes: a pair of query and
+    block is a row only when it is an answer of this step, and no value is copied for it.
+    ``prune=True`` leaves out blocks farther than the radius.
     """
-    points = {
-        (r["qid"], r["tb"]): (r["n_tb"], r["offs"], r["vals"], r["radius"] if prune else inf) for r in rows
-    }
+    asked: dict[int, list[dict]] = {}
+    for row in rows:
+        asked.setdefault(row["tb"], []).append(row)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            qids, tbs, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            flat, offsets = flat_lists(batch.column(3))
-            for rows_here in _runs(qids, tbs):
-                qid, tb = int(qids[rows_here[0]]), int(tbs[rows_here[0]])
-                n_tb, offs, vals, limit = points[qid, tb]
-                matrix = _gather(flat, offsets, rows_here, offs)
-                near, d = distances(matrix, vals, limit)
-                n = len(near)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, qid, dtype=np.int64)),
-                        pa.array(ids[rows_here][near]),
-                        pa.array(np.full(n, n_tb, dtype=np.int32)),
-                        pa.array(d),
-                    ],
-                    names=["qid", "id", "n_tb", "d"],
-                )
-
-    return candidates.select("qid", "tb", "id", "seg").mapInArrow(
-        kernel, "qid BIGINT, id BIGINT, n_tb INT, d DOUBLE"
-    )
-
+            tb, ids, n, tmax, tmin = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            flat, offsets = flat_lists(batch.column(5))
+            found: list[tuple] = []
+            for block in np.unique(tb):
+                of_block = np.flatnonzero(tb == block)
+                envelopes = _value_envelopes(batch.column(6), of_block) if block_filter else None
+                for q in asked.get(int(block), ()):
+                    passed = _rows_in_range(q, n[of_block], tmax[of_block], tmin[of_block])
+                    if exclude_self:
+                        passed &= ids[of_block] != q["qid"]
+                    if envelopes is not None:
+                        passed &= _value_bound(q, *envelopes) <= q["radius"]
+                    chosen = of_block[passed]
+                    if len(chosen):
+                        matrix = _gather(flat, offsets, chosen, q["offs"])
+                        near, d = distances(matrix, q["vals"], q["radius"] if prune else inf)
+                        found.append((np.full(len(near), q["qid"]), ids[chosen][near], np.full(len(near), q["n_tb"]), d))
+            columns = [np.concatenate(c) for c in zip(*found)] or [np.empty(0)] * 4
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c.astype(t))
+                    for c, t in zip(columns, (np.int64, np.int64, np.int32, np.float64))
+                ],
+                names=["qid", "id", "n_tb", "d"],
+            )
 
-def _runs(qids: np.ndarray, tbs: np.ndarray) -> list[np.ndarray]:
-    """Row numbers grouped by (query, time block)."""
-    if not len(qids):
-        return []
-    order = np.lexsort((tbs, qids))
-    change = (np.diff(qids[order]) != 0) | (np.diff(tbs[order]) != 0)
-    return np.split(order, np.flatnonzero(change) + 1)
+    stored = index.blocks.filter(scan_filter(rows)).select(
+        "tb", "id", "n", "tmax", "tmin", "seg", *(["vb"] if block_filter else [])
+    )
+    return stored.mapInArrow(kernel, "qid BIGINT, id BIGINT, n_tb INT, d DOUBLE")
+
+
+def _rows_in_range(q: dict, n: np.ndarray, tmax: np.ndarray, tmin: np.ndarray) -> np.ndarray:
+    """``_in_range`` on arrays."""
+    r, env = q["radius"], q["env"]
+    passed = (n > q["last"]) & (env["mx"] - tmax <= r) & (tmin - env["mn"] <= r)
+    if env["fmx"] is not None:
+        passed &= (tmax - env["fmx"] <= r) & (env["fmn"] - tmin <= r)
+    return passed
+
+
+def _value_envelopes(stored: pa.ListArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stored largest and smallest value per (value block, row); NaN where a row has no such block."""
+    offsets = np.asarray(stored.offsets, dtype=np.int64)
+    offsets -= offsets[0]
+    envelopes = stored.flatten()
+    pieces = np.diff(offsets)[rows]
+    at = offsets[rows][None, :] + np.arange(int(pieces.max(initial=0)))[:, None]
+    inside = at < (offsets[rows] + pieces)[None, :]
+    out = []
+    for values in envelopes.flatten():
+        matrix = np.full(at.shape, np.nan)
+        matrix[inside] = values.to_numpy(zero_copy_only=False)[at[inside]]
+        out.append(matrix)
+    return out[0], out[1]
+
+
+def _value_bound(q: dict, mx: np.ndarray, mn: np.ndarray) -> np.ndarray:
+    """``block_bound`` on arrays."""
+    bound = np.zeros(mx.shape[1])
+    for j, env in enumerate(q["qvb"][: len(mx)]):
+        if env is not None:
+            bound = np.fmax(bound, np.fmax(env["mx"] - mx[j], mn[j] - env["mn"]))
+            if env["fmx"] is not None:
+                bound = np.fmax(bound, np.fmax(mx[j] - env["fmx"], env["fmn"] - mn[j]))
+    return bound
 
 
 def _gather(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -272,32 +316,6 @@ def candidate_counts(index: BlockIndex | UnstoredIndex, rows: list[dict]) -> Dat
     )
 
 
-def most_selective(sample: BlockIndex | UnstoredIndex, rows: list[dict]) -> list[dict]:
-    """For each query the block that fewest series of a sample are in range of."""
-    # At most one row per query block comes back.
-    counts = block_candidates(sample, rows).groupBy("qid", "tb").count().collect()
-    found = {(r.qid, r.tb): r["count"] for r in counts}
-    best: dict[int, dict] = {}
-    for row in rows:
-        share = found.get((row["qid"], row["tb"]), 0)
-        if row["qid"] not in best or share < found.get((row["qid"], best[row["qid"]]["tb"]), 0):
-            best[row["qid"]] = row
-    return list(best.values())
-
-
-def blocks_of(index: BlockIndex, rows: list[dict], pairs: DataFrame, block_filter: bool) -> DataFrame:
-    """Candidate blocks as ``(qid, tb, id, seg)``, for known (qid, id) pairs only.
-
-    ``pairs`` is broadcast; the caller has checked its size.
-    """
-    stored = index.blocks.filter(scan_filter(rows)).drop("tb_dir")
-    found = stored.join(F.broadcast(pairs), "id").alias("b")
-    near = (F.col("b.qid") == F.col("q.qid")) & (F.col("b.tb") == F.col("q.tb")) & _in_range()
-    if block_filter:
-        near &= block_bound(index) <= F.col("radius")
-    return found.join(_broadcast_rows(index, rows), near).select("b.qid", "b.tb", "id", "seg")
-
-
 def complete_candidates(measured: DataFrame) -> DataFrame:
     """``(qid, id, dist)`` of the ids present in every queried time block."""
     return (

@@ -29,24 +29,17 @@ def envelope_sample(series: DataFrame, fraction: float = 0.01, seed: int = 0) ->
 
 
 def sample_series(series: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``min(n, rows)`` random series."""
-    return series.orderBy(hash32(seed, F.col("id")), "id").limit(n)
+    """Exactly ``min(n, rows)`` random series, for unique ids.
+
+    The n smallest hashes are found on ids alone; series are then filtered by the last of them.
+    """
+    h = hash32(seed, F.col("id"))
+    last = series.select(h.alias("h"), "id").orderBy("h", "id").limit(n).agg(F.max(F.struct("h", "id")).alias("m")).first().m
+    if last is None:
+        return series.limit(0)
+    return series.filter((h < last.h) | ((h == last.h) & (F.col("id") <= last.id)))
 
 
 def sample_queries(series: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Random series as packed queries ``(qid, pos, q)`` over all their positions."""
     return as_queries(sample_series(series, n, seed))
-
-
-def prefix_queries(queries: DataFrame, dims: list[int]) -> DataFrame:
-    """Every query cut to each prefix length: ``(qid, dim, pos, q)``.
-
-    A query shorter than a length keeps all its points, as with a plain slice.
-    """
-    cut = queries.withColumn("dim", F.explode(F.array(*[F.lit(int(d)) for d in dims])))
-    return cut.select(
-        "qid",
-        "dim",
-        F.slice("pos", F.lit(1), F.col("dim")).alias("pos"),
-        F.slice("q", F.lit(1), F.col("dim")).alias("q"),
-    )

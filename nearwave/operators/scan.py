@@ -1,4 +1,4 @@
-"""Full scan of a series table for a bounded set of queries.
+"""Full scan of a series table for packs of queries.
 
 Each task streams Arrow batches of series past the queries and keeps only its own k
 nearest per query.  No (query, series) pair is ever a row, and what leaves a task is at
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from nearwave.functions.arrow import at_positions, flat_lists
 
-# A query set up to this size travels with the tasks; larger sets take the join path.
-MAX_QUERIES = 1024
-MAX_POINTS_PER_QUERY = 16384
+# Points of the queries that travel with the tasks at a time; a longer query is a pack of its own.
+PACK_POINTS = 1 << 20
 # Points looked at before rows already too far away are dropped: few at first, then more.
 FIRST_STEP = 4
 LARGEST_STEP = 64
@@ -46,32 +45,30 @@ class Query:
         return float(self.q.min())
 
 
-def bounded_queries(queries: DataFrame, max_queries: int = MAX_QUERIES) -> list[Query] | None:
-    """The queries as local objects, or None if there are too many or too long ones.
+def check_unique(queries: DataFrame) -> None:
+    """Raises if two rows share a query id."""
+    if queries.groupBy("qid").count().filter("count > 1").limit(1).count():
+        raise ValueError("query ids must be unique")
 
-    At most ``max_queries + 1`` rows are fetched, and arrays beyond the point limit stay
-    behind, so what reaches the driver is bounded whatever the query table holds.
-    """
-    fits = F.size("q") <= MAX_POINTS_PER_QUERY
-    rows = (
-        queries.limit(max_queries + 1)
-        .select(
-            F.col("qid").cast("bigint"),
-            F.when(fits, F.col("pos")).alias("pos"),
-            F.when(fits, F.col("q").cast("array<double>")).alias("q"),
-        )
-        .toArrow()
+
+def query_packs(queries: DataFrame, pack_points: int | None = None) -> Iterator[list[Query]]:
+    """All queries with points, some at a time: the driver holds a pack and a partition's rows."""
+    check_unique(queries)
+    most = pack_points or PACK_POINTS
+    pack: list[Query] = []
+    n = 0
+    rows = queries.filter(F.size("q") > 0).select(
+        F.col("qid").cast("bigint"), F.col("pos").cast("array<bigint>"), F.col("q").cast("array<double>")
     )
-    if rows.num_rows > max_queries or rows.column("q").null_count:
-        return None
-    found = [
-        Query(qid, pos.values.to_numpy().astype(np.int64), q.values.to_numpy())
-        for qid, pos, q in zip(rows.column("qid").to_pylist(), rows.column("pos"), rows.column("q"))
-        if len(q)
-    ]
-    if len({q.qid for q in found}) != len(found):
-        raise ValueError("query ids must be unique")
-    return sorted(found, key=lambda q: q.qid)
+    for row in rows.toLocalIterator():
+        query = Query(row.qid, np.array(row.pos, np.int64), np.array(row.q, np.float64))
+        if pack and n + len(query.q) > most:
+            yield sorted(pack, key=lambda q: q.qid)
+            pack, n = [], 0
+        pack.append(query)
+        n += len(query.q)
+    if pack:
+        yield sorted(pack, key=lambda q: q.qid)
 
 
 def distances(matrix: np.ndarray, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +174,8 @@ def scan(
     def _compare(ids, flat, offsets, nearest, kept) -> None:
         lengths = np.diff(offsets)
         matrix = at_positions(flat, offsets, offs)
+        if full_length and (lengths == 0).any():
+            raise ValueError("a query and the stored series differ in length")
         if bounds is not None:
             smax = np.maximum.reduceat(flat, offsets[:-1])
             smin = np.minimum.reduceat(flat, offsets[:-1])
@@ -199,7 +198,8 @@ def scan(
             if len(near):
                 best.add(ids[chosen][near], dist)
 
-    usable = series.filter(F.size("v") > 0)
+    # An empty series has no distance, but where lengths must agree it is an error like any other.
+    usable = series if full_length else series.filter(F.size("v") > 0)
     values = F.col("v") if whole else F.slice("v", int(wanted[0]) + 1, int(wanted[-1] - wanted[0]) + 1)
     return usable.select("id", values.alias("v")).mapInArrow(kernel, SCAN_SCHEMA)
 

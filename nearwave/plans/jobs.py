@@ -11,10 +11,15 @@ from nearwave.operators.sampling import envelope_sample, sample_fraction
 from nearwave.sources.text import read_series_text, write_envelopes, write_series_text
 
 
-def clean_text(spark: SparkSession, source: str, target: str, missing: float = 0.0, mode: str = "errorifexists") -> None:
-    """Read series text, repair missing points, drop what cannot be repaired, write text."""
-    series, _ = read_series_text(spark, source)
+def clean_text(spark: SparkSession, source: str, target: str, missing: float = 0.0, mode: str = "errorifexists") -> int:
+    """Read series text, repair missing points, drop what cannot be repaired, write text.
+
+    Lines that are no series are written to ``target`` + ``.rejects``; returns their number.
+    """
+    series, rejects = read_series_text(spark, source)
     write_series_text(clean_series(series, missing), target, mode)
+    rejects.select("value").write.mode(mode).text(f"{target}.rejects")
+    return spark.read.text(f"{target}.rejects").count()
 
 
 def augment_text(

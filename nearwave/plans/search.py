@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+from collections.abc import Callable
+from itertools import chain
 from math import inf
 
 from pyspark.sql import DataFrame
@@ -14,49 +18,66 @@ from nearwave.operators.radius import (
     sample_radius,
     sample_rank,
 )
-from nearwave.operators.scan import Query, bounded_queries, scan, scan_pairs
+from nearwave.operators.scan import Query, query_packs, scan, scan_pairs
 from nearwave.operators.topk import top_k
 from nearwave.sources.tables import BlockIndex, UnstoredIndex
 from nearwave.workdir import new_folder
 
 
-# (query, series) pairs left by the most selective block that are broadcast to read the other
-# blocks for them; with more, all blocks are compared in one pass.
-MAX_BROADCAST_PAIRS = 4_000_000
-# Index rows up to which one pass costs less than the jobs that would narrow it.
-ONE_PASS_BLOCKS = 2_000_000
+def by_packs(search: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets ``search`` take its ``queries`` as a table of any size.
 
+    Queries come to the driver a pack at a time, and each pack is one run of the same plan.
+    Answers of several packs are gathered in a table in the shared folder.
+    """
+    signature = inspect.signature(search)
+
+    @functools.wraps(search)
+    def run(*args, **options) -> DataFrame:
+        call = signature.bind(*args, **options)
+        queries = call.arguments["queries"]
+        if isinstance(queries, list):
+            return search(*args, **options)
+
+        def answers(pack: list[Query]) -> DataFrame:
+            call.arguments["queries"] = pack
+            return search(*call.args, **call.kwargs)
 
-class TooManyQueries(ValueError):
-    """The query set is too large to travel with the tasks; use ``knn_join``."""
+        packs = query_packs(queries)
+        first, second = next(packs, []), next(packs, None)
+        if second is None:
+            return answers(first)
+        folder = new_folder(queries.sparkSession, "answers")
+        for pack in chain([first, second], packs):
+            answers(pack).write.mode("append").parquet(folder)
+        return queries.sparkSession.read.parquet(folder)
+
+    return run
 
 
 def local_queries(queries: DataFrame | list[Query]) -> list[Query]:
-    if isinstance(queries, list):
-        return queries
-    found = bounded_queries(queries)
-    if found is None:
-        raise TooManyQueries("use plans.join.knn_join, which takes query tables of any size")
-    return found
+    """All queries as objects on the driver, for sets the caller knows to be small."""
+    return queries if isinstance(queries, list) else [q for pack in query_packs(queries) for q in pack]
 
 
+@by_packs
 def knn_scan(
     series: DataFrame, queries: DataFrame | list[Query], k: int, exclude_self: bool = False
 ) -> DataFrame:
     """Brute force over every series; positions of the query are honoured, gaps included."""
-    found = local_queries(queries)
-    return top_k(scan_pairs(scan(series, found, k, exclude_self=exclude_self)), k)
+    return top_k(scan_pairs(scan(series, queries, k, exclude_self=exclude_self)), k)
 
 
+@by_packs
 def knn_by_id_table(
     table: DataFrame, queries: DataFrame | list[Query], k: int, exclude_self: bool = False
 ) -> DataFrame:
     """Brute force over a stored id table; series and query must have one length."""
-    found = local_queries(queries)
-    scanned = scan(table, found, k, full_length=True, exclude_self=exclude_self)
+    scanned = scan(table, queries, k, full_length=True, exclude_self=exclude_self)
     return top_k(scan_pairs(scanned), k)
 
 
+@by_packs
 def knn_filtered_scan(
     series: DataFrame,
     queries: DataFrame | list[Query],
@@ -68,7 +89,7 @@ def knn_filtered_scan(
     ``radius=None`` turns the filter off.  One pass: with an estimated radius the answer
     is what lies among the series kept.
     """
-    scanned = scan(series, local_queries(queries), k, bounds=radius, full_length=True)
+    scanned = scan(series, queries, k, bounds=radius, full_length=True)
     return top_k(scan_pairs(scanned), k)
 
 
@@ -87,37 +108,10 @@ def search_within(
     the answer's.
     """
     rows = ranges.query_block_rows(queries, index, radius)
-    pairs = None
-    if index.n_blocks > ONE_PASS_BLOCKS:
-        pairs = _selective_pairs(index, rows, block_filter, exclude_self)
-    if pairs is not None:
-        candidates = ranges.blocks_of(index, rows, pairs, block_filter)
-    else:
-        candidates = ranges.block_candidates(index, rows, block_filter=block_filter)
-        if exclude_self:
-            candidates = candidates.filter(F.col("id") != F.col("qid"))
-    return ranges.complete_candidates(ranges.block_distances(candidates, rows, prune_distance))
-
-
-def _selective_pairs(
-    index: BlockIndex, rows: list[dict], block_filter: bool, exclude_self: bool
-) -> DataFrame | None:
-    """``(qid, id)`` left by the block of each query that the sample shows to be most selective.
-
-    Read without values; the sort order lets the scan skip most of that block.  None if
-    there are too many pairs to broadcast.
-    """
-    trial = UnstoredIndex(index.sample, index.t_len, index.v_len, index.uniform_len)
-    anchors = ranges.most_selective(trial, rows)
-    first = ranges.block_candidates(index, anchors, block_filter=block_filter)
-    if exclude_self:
-        first = first.filter(F.col("id") != F.col("qid"))
-    folder = new_folder(index.spark, "candidates")
-    first.select("qid", "id").write.parquet(folder)
-    pairs = index.spark.read.schema("qid BIGINT, id BIGINT").parquet(folder)
-    return pairs if pairs.count() <= MAX_BROADCAST_PAIRS else None
+    return ranges.complete_candidates(ranges.near_blocks(index, rows, block_filter, prune_distance, exclude_self))
 
 
+@by_packs
 def knn_within_radius(
     index: BlockIndex,
     queries: DataFrame | list[Query],
@@ -126,9 +120,8 @@ def knn_within_radius(
     block_filter: bool = True,
 ) -> DataFrame:
     """One pass at a given radius: the k nearest among the complete candidates."""
-    found = local_queries(queries)
-    radii = radius if isinstance(radius, dict) else {q.qid: float(radius) for q in found}
-    return top_k(search_within(index, found, radii, block_filter), k)
+    radii = radius if isinstance(radius, dict) else {q.qid: float(radius) for q in queries}
+    return top_k(search_within(index, queries, radii, block_filter), k)
 
 
 def envelope_radius(index: BlockIndex, queries: list[Query], k: int, sample_num: int) -> dict[int, float]:
@@ -159,12 +152,13 @@ def checked_radius(
     return out
 
 
+@by_packs
 def knn_index(
     index: BlockIndex,
     queries: DataFrame | list[Query],
     k: int,
     block_filter: bool = True,
-    radius: str = "sample",
+    radius: str | dict[int, float] = "sample",
     sample_num: int = 1000,
     exclude_self: bool = False,
 ) -> DataFrame:
@@ -172,18 +166,19 @@ def knn_index(
 
     ``radius="sample"`` takes true distances to the index's sample: always large enough,
     so one pass is exact.  ``radius="estimate"`` takes the envelope estimate, checks it
-    with a first pass, and searches with what the check leaves.
+    with a first pass, and searches with what the check leaves.  Given radii are taken as they are.
     """
-    found = local_queries(queries)
-    if radius == "sample":
-        radii = sample_radius(index.sample, found, k, exclude_self)
+    if isinstance(radius, dict):
+        radii = radius
+    elif radius == "sample":
+        radii = sample_radius(index.sample, queries, k, exclude_self)
     elif radius == "estimate":
-        guess = envelope_radius(index, found, k, sample_num)
-        guess = {q.qid: guess.get(q.qid, inf) for q in found}
-        radii = checked_radius(index, found, k, guess, block_filter, exclude_self)
+        guess = envelope_radius(index, queries, k, sample_num)
+        guess = {q.qid: guess.get(q.qid, inf) for q in queries}
+        radii = checked_radius(index, queries, k, guess, block_filter, exclude_self)
     else:
         raise ValueError(f"unknown radius {radius!r}")
-    return top_k(search_within(index, found, radii, block_filter, True, exclude_self), k)
+    return top_k(search_within(index, queries, radii, block_filter, True, exclude_self), k)
 
 
 # Share of a sample left by the index's filters above which a full scan is cheaper.
@@ -201,6 +196,7 @@ def candidate_share(index: BlockIndex, queries: list[Query], radius: dict[int, f
     return kept / (n * len(queries))
 
 
+@by_packs
 def knn(
     queries: DataFrame | list[Query],
     k: int,
@@ -213,16 +209,18 @@ def knn(
     """One entry point: ``method`` is ``scan``, ``id_table``, ``index`` or ``auto``.
 
     ``auto`` searches through the index unless its sample says that it would let most
-    series through, and then scans.
+    series through, and then scans.  Both ways are exact.  Options of the index search
+    (``block_filter``, ``radius``, ``sample_num``) are fine with ``auto`` whichever way it takes.
     """
-    found = local_queries(queries)
     if method == "auto":
-        radius = sample_radius(index.sample, found, k, options.get("exclude_self", False))
-        method = "scan" if candidate_share(index, found, radius) > SCAN_ABOVE_SHARE else "index"
+        radii = sample_radius(index.sample, queries, k, options.get("exclude_self", False))
+        if candidate_share(index, queries, radii) > SCAN_ABOVE_SHARE:
+            return knn_scan(series, queries, k, exclude_self=options.get("exclude_self", False))
+        return knn_index(index, queries, k, **{"radius": radii} | options)
     if method == "scan":
-        return knn_scan(series, found, k, **options)
+        return knn_scan(series, queries, k, **options)
     if method == "id_table":
-        return knn_by_id_table(series, found, k, **options)
+        return knn_by_id_table(series, queries, k, **options)
     if method == "index":
-        return knn_index(index, found, k, **options)
+        return knn_index(index, queries, k, **options)
     raise ValueError(f"unknown method {method!r}")

@@ -20,7 +20,7 @@ from nearwave.operators.radius import (
 from nearwave.operators.sampling import bernoulli_sample, envelope_sample, sample_fraction
 from nearwave.operators.scan import Query, scan, scan_counts, scan_pairs
 from nearwave.operators.topk import top_k
-from nearwave.plans.search import knn_index, knn_scan, local_queries
+from nearwave.plans.search import by_packs, knn_index, knn_scan
 from nearwave.sources.tables import BlockIndex, UnstoredIndex
 from nearwave.workdir import new_folder
 
@@ -49,13 +49,13 @@ class _Labelled:
         return joined.select(*names, *kept)
 
 
+@by_packs
 def compare_methods(series: DataFrame, index: BlockIndex, queries: DataFrame | list[Query], k: int) -> DataFrame:
     """Answers of scan, index and index without block filter side by side, per rank."""
-    found = local_queries(queries)
     answers = {
-        "scan": knn_scan(series, found, k),
-        "index": knn_index(index, found, k),
-        "plain": knn_index(index, found, k, block_filter=False),
+        "scan": knn_scan(series, queries, k),
+        "index": knn_index(index, queries, k),
+        "plain": knn_index(index, queries, k, block_filter=False),
     }
     renamed = [
         a.select("qid", "rn", F.col("id").alias(f"{name}_id"), F.col("dist").alias(f"{name}_dist"))
@@ -83,9 +83,10 @@ def recall(compared: DataFrame) -> DataFrame:
     )
 
 
+@by_packs
 def knn_multi_k(index: BlockIndex, queries: DataFrame | list[Query], ks: list[int], **options) -> DataFrame:
     """``(k, qid, rn, id, dist)`` for several k from one search at the largest."""
-    answers = knn_index(index, local_queries(queries), max(ks), **options)
+    answers = knn_index(index, queries, max(ks), **options)
     return (
         answers.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
         .filter(F.col("rn") <= F.col("k"))
@@ -93,32 +94,34 @@ def knn_multi_k(index: BlockIndex, queries: DataFrame | list[Query], ks: list[in
     )
 
 
+@by_packs
 def pruning_by_k(index: BlockIndex, queries: DataFrame | list[Query], ks: list[int]) -> DataFrame:
     """``(k, qid, radius, n_range, n_filtered)``: series left without and with block filter."""
-    found = local_queries(queries)
-    nearest = top_k(scan_pairs(scan(index.sample, found, max(ks))), max(ks))
+    nearest = top_k(scan_pairs(scan(index.sample, queries, max(ks))), max(ks))
     dist = {(r.qid, r.rn): r.dist for r in nearest.filter(F.col("rn").isin(ks)).collect()}
     each = _Labelled("k INT, qid BIGINT, radius DOUBLE")
     radius = {}
     for k in ks:
-        for q in found:
+        for q in queries:
             r = dist.get((q.qid, k), float("inf"))
             radius[each.add((k, q.qid, r), q.pos, q.q)] = r
     rows = ranges.query_block_rows(each.queries, index, radius)
     return each.restore(ranges.candidate_counts(index, rows)).na.fill(0, ["n_range", "n_filtered"])
 
 
+@by_packs
 def knn_multi_prefix(
     index: BlockIndex, queries: DataFrame | list[Query], dims: list[int], k: int, **options
 ) -> DataFrame:
     """``(dim, qid, rn, id, dist)`` for each query cut to its first ``dim`` points."""
     each = _Labelled("dim INT, qid BIGINT")
-    for q in local_queries(queries):
+    for q in queries:
         for dim in dims:
             each.add((dim, q.qid), q.pos[:dim], q.q[:dim])
     return each.restore(knn_index(index, each.queries, k, **options)).filter("rn IS NOT NULL")
 
 
+@by_packs
 def radius_by_sample_size(
     series: DataFrame,
     index: BlockIndex,
@@ -128,7 +131,6 @@ def radius_by_sample_size(
     seed: int = 0,
 ) -> DataFrame:
     """``(sample_num, qid, radius, n_range, n_filtered)`` for envelope samples of several sizes."""
-    found = local_queries(queries)
     total = index.n_series
     # Samples of one seed are nested: the largest holds them all and is taken once.
     folder = new_folder(series.sparkSession, "envelopes")
@@ -138,14 +140,15 @@ def radius_by_sample_size(
     radius = {}
     for n in sample_nums:
         sample = bernoulli_sample(largest, sample_fraction(n, total), seed)
-        estimate = collect_radius(estimated_radius(sample, found, sample_rank(k, n, total)))
-        for q in found:
+        estimate = collect_radius(estimated_radius(sample, queries, sample_rank(k, n, total)))
+        for q in queries:
             r = estimate.get(q.qid, float("inf"))
             radius[each.add((n, q.qid, r), q.pos, q.q)] = r
     rows = ranges.query_block_rows(each.queries, index, radius)
     return each.restore(ranges.candidate_counts(index, rows)).na.fill(0, ["n_range", "n_filtered"])
 
 
+@by_packs
 def pruning_by_block_lengths(
     series: DataFrame,
     queries: DataFrame | list[Query],
@@ -154,25 +157,24 @@ def pruning_by_block_lengths(
     uniform_len: int | None,
 ) -> DataFrame:
     """``(t_len, v_len, qid, n_range, n_filtered)`` for several block lengths at given radii."""
-    found = local_queries(queries)
     per_setting = []
     for t_len, v_len in lengths:
         trial = UnstoredIndex(series, t_len, v_len, uniform_len)
-        counts = ranges.candidate_counts(trial, ranges.query_block_rows(found, trial, radius))
+        counts = ranges.candidate_counts(trial, ranges.query_block_rows(queries, trial, radius))
         per_setting.append(
             counts.select(F.lit(t_len).alias("t_len"), F.lit(v_len).alias("v_len"), "qid", "n_range", "n_filtered")
         )
     return reduce(DataFrame.unionByName, per_setting)
 
 
+@by_packs
 def pruning_on_off(
     series: DataFrame, queries: DataFrame | list[Query], k: int, radius: dict[int, float]
 ) -> DataFrame:
     """``(qid, n_total, n_kept, same_answer)`` of a full scan with and without envelope filter."""
-    found = local_queries(queries)
     runs = {
-        "kept": scan(series, found, k, bounds=radius, full_length=True),
-        "total": scan(series, found, k, full_length=True),
+        "kept": scan(series, queries, k, bounds=radius, full_length=True),
+        "total": scan(series, queries, k, full_length=True),
     }
     counts = reduce(
         lambda a, b: a.join(b, "qid"),

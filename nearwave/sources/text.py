@@ -27,26 +27,30 @@ def _try_doubles(text: Column) -> Column:
 
 
 def _usable(values: Column) -> Column:
-    """No value failed to parse, none is NaN, and there is at least one."""
+    """No value failed to parse, all are finite, and there is at least one."""
+    infinite = F.exists(values, lambda x: F.abs(x) == float("inf"))
     return (
         (F.size(values) > 0)
         & (F.size(F.array_compact(values)) == F.size(values))
         & ~F.isnan(F.array_max(values))
+        & ~infinite
     )
 
 
 def parse_series(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Text lines to ``(series(id, v, ord), rejects(value, ord))``.
 
-    ``ord`` follows the order of the input splits, so that a later line can replace an
-    earlier one with the same id (``sources.tables.last_per_id``).
+    ``ord`` orders the lines, so that a later one can replace an earlier one with the same id
+    (``sources.tables.last_per_id``).  It is a column of ``lines``, or else their number in
+    the order of the input's partitions.
     """
+    order = F.col("ord") if "ord" in lines.columns else F.monotonically_increasing_id()
     head = F.split(F.col(column), ID_SEPARATOR, 2)
     parsed = lines.select(
         F.col(column).alias("value"),
         F.get(head, F.lit(0)).try_cast("bigint").alias("id"),
         _try_doubles(F.get(head, F.lit(1))).alias("v"),
-        F.monotonically_increasing_id().alias("ord"),
+        order.alias("ord"),
     )
     good = F.coalesce(F.col("id").isNotNull() & _usable(F.col("v")), F.lit(False))
     return (
@@ -56,7 +60,16 @@ def parse_series(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Da
 
 
 def read_series_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_series(spark.read.text(path))
+    """Series and rejects of text files; lines count by file path, then by their place in the file."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),  # ascends within a block
+        ).alias("ord"),
+    )
+    return parse_series(lines)
 
 
 def format_series(series: DataFrame) -> DataFrame:
@@ -78,16 +91,23 @@ def parse_query_points(
     column: str = "points",
     sep: str = POINT_SEPARATOR,
     value_sep: str = POINT_VALUE_SEPARATOR,
-) -> DataFrame:
-    """A table ``(qid, points)`` of query strings to packed queries ``(qid, pos, q)``."""
+) -> tuple[DataFrame, DataFrame]:
+    """A table ``(qid, points)`` of query strings to ``(queries(qid, pos, q), rejects(qid, points))``.
+
+    Rejected are strings with a point that is not a position from 0 on and a finite value.
+    """
     # ``split`` takes patterns; separators are meant as they stand.
     point, value = re.escape(sep), re.escape(value_sep)
     pairs = F.transform(F.split(F.col(column), point, -1), lambda t: F.split(t, value, 2))
-    return texts.select("qid", pairs.alias("pairs")).select(
+    parsed = texts.select("qid", F.col(column).alias("points"), pairs.alias("pairs")).select(
         "qid",
-        F.transform("pairs", lambda p: F.get(p, F.lit(0)).cast("int")).alias("pos"),
-        F.transform("pairs", lambda p: F.get(p, F.lit(1)).cast("double")).alias("q"),
+        "points",
+        F.transform("pairs", lambda p: F.get(p, F.lit(0)).try_cast("int")).alias("pos"),
+        F.transform("pairs", lambda p: F.get(p, F.lit(1)).try_cast("double")).alias("q"),
     )
+    placed = (F.size(F.array_compact("pos")) == F.size("pos")) & (F.array_min("pos") >= 0)
+    good = F.coalesce(placed & _usable(F.col("q")), F.lit(False))
+    return parsed.filter(good).select("qid", "pos", "q"), parsed.filter(~good).select("qid", "points")
 
 
 def format_query_points(

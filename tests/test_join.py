@@ -16,12 +16,6 @@ for i in range(400, 600):
     VALUES[i] = VALUES[7].copy()
 
 
-@pytest.fixture(autouse=True)
-def always_join(monkeypatch):
-    """Take the tile path whatever the number of queries."""
-    monkeypatch.setattr(join, "bounded_queries", lambda queries: None)
-
-
 @pytest.fixture(scope="module")
 def series(series_of):
     return series_of(VALUES)

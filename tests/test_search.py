@@ -6,10 +6,9 @@ import numpy as np
 import pytest
 
 from conftest import answers, nearest
-from nearwave.operators import ranges
+from nearwave.operators import ranges, scan
 from nearwave.operators.radius import sample_radius
-from nearwave.operators.scan import bounded_queries
-from nearwave.plans import search
+from nearwave.plans import join, search
 from nearwave.sources.tables import write_block_index
 from nearwave.workdir import new_folder
 
@@ -30,12 +29,6 @@ SHAPES = {
 }
 
 
-@pytest.fixture(autouse=True)
-def narrow_first(monkeypatch):
-    """Take the way of large indexes: the most selective block first."""
-    monkeypatch.setattr(search, "ONE_PASS_BLOCKS", 0)
-
-
 def _queries(pos):
     return {i: (pos, WALKS[i][pos]) for i in (0, 3, 77, 214)}
 
@@ -87,14 +80,6 @@ def test_more_answers_than_series(index, series, queries_of):
     assert answers(search.knn_scan(series, queries_of(queries), 1000)) == expected
 
 
-@pytest.mark.parametrize("exclude_self", [False, True])
-def test_one_pass_when_pairs_are_many(index, queries_of, monkeypatch, exclude_self):
-    monkeypatch.setattr(search, "MAX_BROADCAST_PAIRS", 0)
-    queries = _queries(SHAPES["offset"])
-    found = search.knn_index(index, queries_of(queries), 5, exclude_self=exclude_self)
-    assert answers(found) == nearest(WALKS, queries, 5, exclude_self)
-
-
 def test_exclude_self(index, series, queries_of):
     queries = _queries(SHAPES["offset"])
     expected = nearest(WALKS, queries, 5, exclude_self=True)
@@ -129,10 +114,38 @@ def test_id_table_wants_equal_lengths(series, queries_of):
         search.knn_by_id_table(series, queries_of({0: ([0, 1], [1.0, 2.0])}), 3).collect()
 
 
-def test_query_set_is_bounded(queries_of):
-    queries = queries_of({i: ([0], [1.0]) for i in range(5)})
-    assert bounded_queries(queries, max_queries=4) is None
-    assert len(bounded_queries(queries, max_queries=5)) == 5
+def test_any_number_of_queries_in_packs(series, index, queries_of, monkeypatch):
+    monkeypatch.setattr(scan, "PACK_POINTS", 40)
+    queries = {i: (SHAPES["offset"], WALKS[i][SHAPES["offset"]]) for i in range(11)}
+    want = nearest(WALKS, queries, 4)
+    assert answers(search.knn_scan(series, queries_of(queries), 4)) == want
+    assert answers(search.knn_index(index, queries_of(queries), 4)) == want
+    assert answers(search.knn(queries_of(queries), 4, "auto", series=series, index=index, block_filter=False)) == want
+
+
+def test_a_query_longer_than_a_pack(spark, series_of, queries_of, monkeypatch):
+    monkeypatch.setattr(scan, "PACK_POINTS", 1000)
+    values = {i: np.cumsum(np.random.default_rng(i).normal(size=17_000)) for i in range(6)}
+    queries = {i: (list(range(17_000)), values[i]) for i in (0, 4)}
+    assert answers(search.knn_scan(series_of(values), queries_of(queries), 3)) == nearest(values, queries, 3)
+
+
+def test_query_ids_are_unique(series, index, queries_of):
+    twice = queries_of({1: ([0], [1.0])}).unionAll(queries_of({1: ([1], [2.0])}))
+    for run in (lambda: search.knn_scan(series, twice, 1), lambda: join.knn_join(series, twice, 1, index)):
+        with pytest.raises(ValueError, match="unique"):
+            run()
+
+
+def test_empty_series_break_the_length_rule(series_of, queries_of):
+    series = series_of({1: [1.0, 2.0], 2: []})
+    with pytest.raises(Exception, match="differ in length"):
+        search.knn_by_id_table(series, queries_of({0: ([0, 1], [1.0, 2.0])}), 1).collect()
+
+
+def test_pairs_of_the_index_search_are_no_rows(index, queries_of):
+    plan = _plan(search.knn_index(index, queries_of(_queries(SHAPES["full"])), 5))
+    assert "MapInArrow" in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
 
 
 def test_sample_radius_is_never_too_small(index, queries_of):
