@@ -379,6 +379,10 @@ select distinct id, cast(null as integer), cast(null as double), false from s wh
         "block_index": _with(SPEND, ALL_QUERIES, SPEND_BLOCKS)
         + """select tb, tmax, tmin, id, n, cast(n_vb as integer) as n_vb
 from b join (select id, tb, count(*) as n_vb from vb group by 1, 2) using (id, tb)""",
+        "block_contents": _with(SPEND, ALL_QUERIES, SPEND_BLOCKS)
+        + f"""select id, cast(pos // {P.SPEND_T} as integer) as tb, 'value' as kind,
+       cast(pos % {P.SPEND_T} as integer) as at, v as hi, v as lo from s union all
+select id, tb, 'envelope', cast(vblk as integer), mx, mn from vb""",
         "time_blocks": _with(SPEND, ALL_QUERIES, SPEND_BLOCKS) + "select id, tb, tmax, tmin, n from b",
         "value_blocks": _with(VECTORS, ALL_QUERIES, _blocks(P.VECTOR_T, P.VECTOR_V))
         + "select id, tb, vblk, mx, mn from vb",

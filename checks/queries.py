@@ -184,6 +184,15 @@ def block_index(spark, sf_dir):
     return stored.select("tb", "tmax", "tmin", "id", "n", F.size("vb").alias("n_vb"))
 
 
+def block_contents(spark, sf_dir):
+    """Stored values and value-block envelopes of the index, one row each."""
+    stored = spend_index(spark, sf_dir).blocks
+    values = stored.select("id", "tb", F.posexplode("seg").alias("at", "hi"))
+    values = values.select("id", "tb", F.lit("value").alias("kind"), "at", "hi", F.col("hi").alias("lo"))
+    envelopes = stored.select("id", "tb", F.posexplode("vb").alias("at", "e"))
+    return values.unionAll(envelopes.select("id", "tb", F.lit("envelope"), "at", "e.mx", "e.mn"))
+
+
 # Blocks and bounds
 
 
@@ -282,7 +291,6 @@ def knn_index_estimated_radius(spark, sf_dir):
         _spend_queries(spark, sf_dir),
         P.K,
         radius="estimate",
-        sample_num=P.SAMPLE_NUM,
     )
 
 
@@ -299,7 +307,7 @@ def knn_sparse_positions(spark, sf_dir):
 
 def knn_within_radius(spark, sf_dir):
     index, queries = spend_index(spark, sf_dir), _spend_queries(spark, sf_dir)
-    radius = search.envelope_radius(index, queries, P.K, P.SAMPLE_NUM)
+    radius = search.envelope_radius(index, queries, P.K)
     return search.knn_within_radius(index, queries, P.K, radius)
 
 
@@ -321,7 +329,7 @@ def knn_index_many(spark, sf_dir):
 
 def knn_filtered_scan(spark, sf_dir):
     index, queries = spend_index(spark, sf_dir), _spend_queries(spark, sf_dir)
-    radius = search.envelope_radius(index, queries, P.K, P.SAMPLE_NUM)
+    radius = search.envelope_radius(index, queries, P.K)
     return search.knn_filtered_scan(spend(spark, sf_dir), queries, P.K, radius)
 
 
@@ -350,7 +358,7 @@ def _rows(index, queries, radius=None):
 
 def index_range_scan(spark, sf_dir):
     index, queries = spend_index(spark, sf_dir), _spend_queries(spark, sf_dir)
-    radius = search.envelope_radius(index, queries, P.K, P.SAMPLE_NUM)
+    radius = search.envelope_radius(index, queries, P.K)
     found = ranges.block_candidates(index, _rows(index, queries, radius), per_block=False)
     return found.select("qid", "tb", "id", "tmax", "tmin")
 
@@ -466,7 +474,7 @@ def pruning_by_value_block(spark, sf_dir):
 
 def pruning_on_off(spark, sf_dir):
     index, queries = spend_index(spark, sf_dir), _spend_queries(spark, sf_dir)
-    radius = search.envelope_radius(index, queries, P.K, P.SAMPLE_NUM)
+    radius = search.envelope_radius(index, queries, P.K)
     return sweeps.pruning_on_off(spend(spark, sf_dir), queries, P.K, radius)
 
 
@@ -480,6 +488,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "augment_text_job": augment_text_job,
         "series_by_id": series_by_id,
         "block_index": block_index,
+        "block_contents": block_contents,
         "time_blocks": time_blocks,
         "value_blocks": value_blocks,
         "series_envelope": series_envelope,

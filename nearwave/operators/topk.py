@@ -6,22 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# Pieces in which the rows of one group are merged before the last step, at most.
-MAX_MERGE_WAYS = 64
+# Pieces in which the rows of one group are merged before the last step.
+MERGE_WAYS = 32
 
 
 def top_k(pairs: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """The k nearest ``(id, dist)`` per group, ties to the smaller id, ranked from 1.
 
     Filtering a ``row_number`` makes Spark cut every task's rows to k per group before
-    the shuffle.  What is left still grows with the number of tasks, so on a cluster (many
-    shuffle partitions) a group is first merged in pieces by a hash of the id.
+    the shuffle.  What is left still grows with the number of tasks, so a group is first
+    merged in pieces by a hash of the id.
     """
-    ways = min(MAX_MERGE_WAYS, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    if ways > 1:
-        piece = F.pmod(F.xxhash64("id"), F.lit(ways))
-        pairs = _nearest(pairs.withColumn("_piece", piece), k, (*by, "_piece")).drop("_piece", "rn")
-    return _nearest(pairs, k, by).select(*by, "rn", "id", "dist")
+    piece = F.pmod(F.xxhash64("id"), F.lit(MERGE_WAYS))
+    merged = _nearest(pairs.withColumn("_piece", piece), k, (*by, "_piece")).drop("_piece", "rn")
+    return _nearest(merged, k, by).select(*by, "rn", "id", "dist")
 
 
 def _nearest(pairs: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:

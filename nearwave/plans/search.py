@@ -124,9 +124,11 @@ def knn_within_radius(
     return top_k(search_within(index, queries, radii, block_filter), k)
 
 
-def envelope_radius(index: BlockIndex, queries: list[Query], k: int, sample_num: int) -> dict[int, float]:
-    """Estimated radius from the index's own sample."""
-    rank = sample_rank(k, sample_num, index.n_series)
+def envelope_radius(
+    index: BlockIndex, queries: list[Query], k: int, sample_num: int | None = None
+) -> dict[int, float]:
+    """Estimated radius from the index's own sample, at the rank that its size gives (or another one)."""
+    rank = sample_rank(k, index.sample_num if sample_num is None else sample_num, index.n_series)
     return collect_radius(estimated_radius(index.envelopes, queries, rank))
 
 
@@ -159,7 +161,7 @@ def knn_index(
     k: int,
     block_filter: bool = True,
     radius: str | dict[int, float] = "sample",
-    sample_num: int = 1000,
+    sample_num: int | None = None,
     exclude_self: bool = False,
 ) -> DataFrame:
     """Exact search through a block index.

@@ -24,7 +24,9 @@ from nearwave.operators.sampling import in_sample, sample_fraction
 # Tables are read with their known schema: no job to infer it from footers.
 SERIES_SCHEMA = "id BIGINT, v ARRAY<DOUBLE>"
 STORED_BLOCK_SCHEMA = f"{BLOCK_SCHEMA}, seg ARRAY<DOUBLE>, tb_dir INT, sampled INT"
-META_SCHEMA = "t_len INT, v_len INT, n_series BIGINT, n_blocks BIGINT, uniform_len INT"
+META_SCHEMA = "t_len INT, v_len INT, n_series BIGINT, n_blocks BIGINT, uniform_len INT, sample_num INT"
+# Values per task of a build, at most on average.
+VALUES_PER_TASK = 1 << 24
 BLOCK_KEY = ("tb", "tmax", "tmin", "id")
 
 
@@ -41,10 +43,11 @@ def last_per_id(series: DataFrame, order: str = "ord") -> DataFrame:
 def write_series_table(series: DataFrame, path: str, order: str | None = "ord", mode: str = "errorifexists") -> int:
     """Store ``(id, v)``, one row per id; returns the rows stored.
 
-    ``order=None`` says ids are already unique: the rows are then written without a shuffle.
+    ``order=None`` says ids are already unique.  Rows are stored by ranges of id and in its order, so
+    that a lookup of some ids reads only the row groups that hold them.
     """
     unique = series.select("id", "v") if order is None else last_per_id(series, order)
-    unique.write.mode(mode).parquet(path)
+    unique.repartitionByRange("id").sortWithinPartitions("id").write.mode(mode).parquet(path)
     return read_series_table(series.sparkSession, path).count()
 
 
@@ -64,6 +67,8 @@ class BlockIndex:
     n_blocks: int
     uniform_len: int | None
     """Common length of all series, or None if they differ."""
+    sample_num: int
+    """Size that the stored sample was drawn for."""
 
     @property
     def blocks(self) -> DataFrame:
@@ -141,10 +146,13 @@ def write_block_index(
     are still spread by id, so a value held by a third of the series splits over tasks.
     """
     spark = series.sparkSession
-    fraction = sample_fraction(sample_num, series.count())
+    size = series.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("v")).alias("values")).first()
+    fraction = sample_fraction(sample_num, size.rows)
+    # Tasks follow the data, whatever the session's number of shuffle partitions.
+    tasks = spark.sparkContext.defaultParallelism + (size["values"] or 0) // VALUES_PER_TASK
     (
         time_blocks(series, t_len, v_len)
-        .repartitionByRange(*BLOCK_KEY)
+        .repartitionByRange(tasks, *BLOCK_KEY)
         .withColumn("tb_dir", F.col("tb"))
         .withColumn("sampled", in_sample(fraction, seed).cast("int"))
         .sortWithinPartitions("tb_dir", "sampled", *BLOCK_KEY)
@@ -155,7 +163,7 @@ def write_block_index(
     blocks = _read_blocks(spark, path)
     n_series, n_blocks, length = _stored_counts(blocks)
     _stored_sample(blocks).write.mode(mode).parquet(f"{path}/sample")
-    meta = [(t_len, v_len, n_series, n_blocks, length)]
+    meta = [(t_len, v_len, n_series, n_blocks, length, sample_num)]
     spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
     return open_block_index(spark, path)
 
@@ -163,5 +171,5 @@ def write_block_index(
 def open_block_index(spark: SparkSession, path: str) -> BlockIndex:
     meta = spark.read.schema(META_SCHEMA).parquet(f"{path}/meta").first()
     return BlockIndex(
-        spark, path, meta.t_len, meta.v_len, meta.n_series, meta.n_blocks, meta.uniform_len
+        spark, path, meta.t_len, meta.v_len, meta.n_series, meta.n_blocks, meta.uniform_len, meta.sample_num
     )
