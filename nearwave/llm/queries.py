@@ -72,6 +72,42 @@ QUERIES = (
     op10_line_dedup,
 )
 
+#: Every window as long as an item that shares a shingle with it, compared by brute force.
+OP1_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, text,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') as words
+  from documents),
+b as (
+  select row_number() over () as item, item_id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') as words
+  from benchmark),
+ds as (
+  select r, pos, array_to_string(words[pos + 1 : pos + 5], ' ') as s
+  from (select r, words, unnest(range(len(words) - 4)) as pos from d)),
+bs as (
+  select item, len(words) - 4 as m, array_to_string(words[k + 1 : k + 5], ' ') as s
+  from (select item, words, unnest(range(len(words) - 4)) as k from b)),
+hits as (select distinct r, pos, item, m from ds join bs using (s)),
+windows as (
+  select distinct r, item, m, start
+  from (select r, item, m, pos - unnest(range(m)) as start from hits) join d using (r)
+  where start >= 0 and start + m + 4 <= len(words)),
+window_counts as (
+  select w.r, item, m, start, s, count(*) as c
+  from windows w join ds on ds.r = w.r and ds.pos between start and start + m - 1 group by all),
+item_counts as (select item, s, count(*) as c from bs group by all),
+common as (
+  select w.r, item, m, start, sum(least(w.c, i.c)) as n
+  from window_counts w join item_counts i using (item, s) group by all),
+found as (
+  select doc_id, text, item_id, start, m + 4 as n_words, n::double / (2 * m - n)::double as similarity
+  from common join d using (r) join b using (item))
+select doc_id, item_id, cast(start as bigint) as start, cast(n_words as bigint) as n_words, similarity
+from found where similarity >= 0.8
+qualify row_number() over (partition by doc_id, text, item_id order by similarity desc, start) = 1
+"""
+
 OP7_SQL = """
 with p as (
   select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as digest,
@@ -119,4 +155,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op7_warc_index": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op7_warc_index": OP7_SQL, "op10_line_dedup": OP10_SQL}

@@ -28,6 +28,8 @@ from pyspark.sql.functions import pandas_udf
 SMOOTH = (0.4, 0.24, 0.06)
 #: A block is content if its score reaches this share of the text-weighted mean.
 THRESHOLD = 0.3
+#: Paths with more of their text in links are menus, outside a declared article.
+LINK_SHARE = 0.7
 #: The article holds this share of the content nodes' text.
 COVER = 0.9
 
@@ -81,6 +83,7 @@ class Element:
     parent: int
     path: str
     excluded: bool
+    in_link: bool = False
 
 
 @dataclass(slots=True)
@@ -90,6 +93,7 @@ class Block:
     excluded: bool
     parts: list[str] = field(default_factory=list)
     text: str = ""
+    link_chars: int = 0
 
 
 def _is_page_part(tag: str, attrs: str) -> bool:
@@ -132,6 +136,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             blocks.append(open_block)
         if inner.excluded == open_block.excluded:
             open_block.parts.append(text)
+            open_block.link_chars += len(text) * inner.in_link
 
     def pop_to(depth: int) -> None:
         nonlocal open_block
@@ -195,7 +200,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         heading = tag in HEADINGS and above.tag == "header" and any(elements[i].tag in ("article", "main") for i in stack)
         excluded = (above.excluded and not heading) or _is_page_part(tag, m["attrs"])
         path = f"{above.path}/{tag}" if tag in BLOCK_TAGS else above.path
-        elements.append(Element(tag, parent, path, excluded))
+        elements.append(Element(tag, parent, path, excluded, above.in_link or tag == "a"))
         if tag in _RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end()
@@ -208,15 +213,21 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
     return elements, [b for b in blocks if b.text]
 
 
-def content_scores(blocks: list[Block]) -> np.ndarray:
-    """Fused and smoothed path ratios of the blocks."""
-    sums: dict[str, list[float]] = {}
+def path_sums(blocks: list[Block]) -> dict[str, tuple[int, int, int, int]]:
+    """Blocks, characters, punctuation marks and characters in links of each tag path."""
+    sums: dict[str, tuple[int, int, int, int]] = {}
     for block in blocks:
-        s = sums.setdefault(block.path, [0.0, 0.0, 0.0])
-        s[0] += 1
-        s[1] += len(block.text)
-        s[2] += len(_MARKS.findall(block.text))
-    ratio = {p: (length / n) * (marks / n + 0.1) for p, (n, length, marks) in sums.items()}
+        n, chars, marks, links = sums.get(block.path, (0, 0, 0, 0))
+        found = len(_MARKS.findall(block.text))
+        sums[block.path] = (n + 1, chars + len(block.text), marks + found, links + block.link_chars)
+    return sums
+
+
+def content_scores(blocks: list[Block], sums: dict[str, tuple[int, int, int, int]]) -> np.ndarray:
+    """Fused and smoothed path ratios of the blocks."""
+    ratio = {
+        path: (chars / n) * (marks / n + 0.1) * max(0.0, 1 - links / chars) for path, (n, chars, marks, links) in sums.items()
+    }
     raw = np.log1p(np.array([0.0 if b.excluded else ratio[b.path] for b in blocks]))
     smooth = SMOOTH[0] * raw
     for k, w in enumerate(SMOOTH[1:], 1):
@@ -231,7 +242,8 @@ def main_text(page: str) -> str:
     usable = [b for b in blocks if not b.excluded]
     if not usable:
         return ""
-    scores = content_scores(blocks)
+    sums = path_sums(blocks)
+    scores = content_scores(blocks, sums)
     scores = scores[[not b.excluded for b in blocks]]
     sizes = np.array([len(b.text) for b in usable], float)
     content = scores >= THRESHOLD * float((scores * sizes).sum() / sizes.sum())
@@ -249,10 +261,10 @@ def main_text(page: str) -> str:
     for i, n in held.items():
         if n >= COVER * total and i > best and elements[i].tag not in ("p", "li", "td", "pre", "blockquote", *HEADINGS):
             best = i
-    # A declared article around it, or beside it with most of the text, has the last word.
+    # A declared article around it has the last word.
     i = best
     while i > 0:
-        if elements[i].tag in ("article", "main") or i == 0:
+        if elements[i].tag in ("article", "main"):
             best = i
             break
         i = elements[i].parent
@@ -262,7 +274,10 @@ def main_text(page: str) -> str:
             i = elements[i].parent
         return i == best
 
-    return "\n".join(b.text for b in usable if inside(b.element))
+    # Where no element is declared the article, lists of links beside it are menus.
+    declared = elements[best].tag in ("article", "main")
+    menus = {path for path, (_, chars, _, links) in sums.items() if links > LINK_SHARE * chars and not declared}
+    return "\n".join(b.text for b in usable if inside(b.element) and b.path not in menus)
 
 
 @pandas_udf(T.StringType())

@@ -32,6 +32,7 @@ LAYOUTS = {
     "article header": f"<header><h1>Site</h1></header><article><header>{TITLE}<p>By someone, today.</p></header>{paragraphs()}<footer>Tags: a, b.</footer></article>",
     "scripts": f"<script>var a='<p>no</p>';</script><article>{TITLE}<script>if (a < b) {{}}</script>{paragraphs()}<!-- <p>gone</p> --><noscript><p>No, no.</p></noscript></article>",
     "unclosed": f"<body>{NAV}<article>{TITLE}" + "".join(f"<p><b>{html.escape(p)}<br>" for p in ARTICLE[1:]) + f"</article>{FOOTER}",
+    "nameless": "<body><div><ul><li><a href=/>Home, page</a><li><a href=/a>About us, and more</a></ul></div><div>" + TITLE + paragraphs() + "</div><div><span><a href=/x>Terms</a></span></div>",
     "cookie notice": f"<div class='cookie-notice' role=dialog><p>We use cookies, and so on. Accept, please.</p></div><article>{TITLE}{paragraphs()}</article>",
     "adverts": f"<article>{TITLE}<div class=\"ad\">Buy, now.</div>{paragraphs()}<p class='advert-slot'>Buy.</p></article>",
 }
