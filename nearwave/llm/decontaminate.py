@@ -150,30 +150,36 @@ def contaminated(
 
     own, theirs = [f"own{b}" for b in range(BLOCKS)], [f"item{b}" for b in range(BLOCKS)]
     asked = with_blocks(windows.select("words", "n").distinct(), "words", own).select(
-        "words", "n", shingles(F.col("words")).alias("shingles"), *own, F.posexplode(F.array(*own)).alias("block", "value")
+        "words", "n", *own, F.posexplode(F.array(*own)).alias("block", "value")
     )
-    entered = (
-        with_blocks(items, "item_words", theirs)
-        .select(
-            "item_id",
-            "n",
-            shingles(F.col("item_words")).alias("item_shingles"),
-            *theirs,
-            F.posexplode(F.array(*theirs)).alias("block", "exact"),
-        )
-        .withColumn("mask", F.explode(_near_masks(radius // BLOCKS)))
-        .withColumn("value", F.col("exact").bitwiseXOR(F.col("mask")))
-        .drop("exact", "mask")
+    # Both sides of the benchmark are written, so that joins with them are planned by their true size.
+    with_blocks(items, "item_words", theirs).withColumn("item", F.xxhash64("item_id", "item_words")).write.parquet(
+        f"{folder}/items"
+    )
+    stored = spark.read.parquet(f"{folder}/items")
+    stored.select("item", "n", *theirs, F.posexplode(F.array(*theirs)).alias("block", "exact")).withColumn(
+        "mask", F.explode(_near_masks(radius // BLOCKS))
+    ).select("item", "n", *theirs, "block", F.col("exact").bitwiseXOR(F.col("mask")).alias("value")).write.parquet(
+        f"{folder}/entered"
     )
     apart = [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(own, theirs)]
     # A pair may meet in several blocks; the first of them counts.
     first = F.coalesce(*[F.when(apart[b] <= radius // BLOCKS, b) for b in range(BLOCKS)])
-    matches = (
-        asked.join(entered, ["n", "block", "value"])
+    near = (
+        asked.join(spark.read.parquet(f"{folder}/entered"), ["n", "block", "value"])
         .filter((sum(apart[1:], apart[0]) <= radius) & (F.col("block") == first))
-        .withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles")))
+        .select("words", F.col("n").alias("n_words"), "item")
+    )
+    # The generator keeps the shingles from being built anew for every comparison.
+    both = F.explode(
+        F.array(F.struct(shingles(F.col("words")).alias("a"), shingles(F.col("item_words")).alias("b")))
+    ).alias("shingles")
+    matches = (
+        near.join(stored.select("item", "item_id", "item_words"), "item")
+        .select("words", "n_words", "item_id", both)
+        .withColumn("similarity", similarity(F.col("shingles.a"), F.col("shingles.b")))
         .filter(F.col("similarity") >= least)
-        .select(F.xxhash64("words", "n").alias("content"), F.col("words").alias("match_words"), "item_id", "similarity")
+        .select(F.xxhash64("words", "n_words").alias("content"), F.col("words").alias("match_words"), "item_id", "similarity")
     )
     return (
         windows.join(matches, "content")
