@@ -221,6 +221,7 @@ def near_blocks(
     asked: dict[int, list[dict]] = {}
     for row in rows:
         asked.setdefault(row["tb"], []).append(row)
+    bounds = {tb: np.array([_ranges(row, True) for row in of_tb]) for tb, of_tb in asked.items()}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +229,16 @@ def near_blocks(
             flat, offsets = flat_lists(batch.column(5))
             found: list[tuple] = []
             for block in np.unique(tb):
+                if int(block) not in asked:
+                    continue
                 of_block = np.flatnonzero(tb == block)
+                # Rows are stored in the order of their maxima: most queries miss a batch altogether.
+                from_max, to_max, from_min, to_min = bounds[int(block)].T
+                meets = (from_max <= tmax[of_block].max()) & (to_max >= tmax[of_block].min())
+                meets &= (from_min <= tmin[of_block].max()) & (to_min >= tmin[of_block].min())
                 envelopes = _value_envelopes(batch.column(6), of_block) if block_filter else None
-                for q in asked.get(int(block), ()):
+                for at in np.flatnonzero(meets):
+                    q = asked[int(block)][at]
                     passed = _rows_in_range(q, n[of_block], tmax[of_block], tmin[of_block])
                     if exclude_self:
                         passed &= ids[of_block] != q["qid"]
