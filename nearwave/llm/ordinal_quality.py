@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -29,6 +29,8 @@ from pyspark.sql.functions import pandas_udf
 from nearwave.llm.common import full_text
 
 SAMPLE = 6_000
+#: Features of the sample that reach the driver, at most (four bytes each).
+SAMPLE_FEATURES = 30_000_000
 BITS = 18
 EPOCHS = 8
 #: Lengths in bytes of the word beginnings that are features too: kin of a rated word then count.
@@ -138,7 +140,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> OrdinalModel:
     """The model of at most ``sample`` rated rows: those whose (doc_id, grade) hash lowest.
 
-    A doc_id rated twice counts twice, with each of its rows in ``docs``.
+    Fewer if their features exceed ``SAMPLE_FEATURES``, as thousands of book-long texts would.  A doc_id rated twice counts twice, with each of its rows in ``docs``.
     """
     chosen = ratings.select("doc_id", "grade", F.xxhash64("doc_id", "grade").alias("h")).orderBy("h", "doc_id", "grade")
     chosen = chosen.limit(sample).select(F.col("doc_id").alias("rated"), "grade")
@@ -148,8 +150,10 @@ def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAM
         .select(F.xxhash64("text", "doc_id", "grade").alias("h"), "grade", features_of(full_text()).alias("x"))
         .orderBy("h", "grade")
         .limit(sample)
-        .toPandas()
     )
+    # Of the sample's rows, in hash order, as many as stay below the bound on features in all.
+    so_far = F.sum(F.size("x")).over(Window.orderBy("h", "grade").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_FEATURES).select("grade", "x").toPandas()
     return fit([np.asarray(x, np.int32) for x in rows["x"]], rows["grade"].to_numpy(np.int64), n_grades)
 
 
