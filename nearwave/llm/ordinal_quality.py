@@ -140,7 +140,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> OrdinalModel:
     """The model of at most ``sample`` rated rows: those whose (doc_id, grade) hash lowest.
 
-    Fewer if their features exceed ``SAMPLE_FEATURES``, as thousands of book-long texts would.  A doc_id rated twice counts twice, with each of its rows in ``docs``.
+    Fewer if their features exceed ``SAMPLE_FEATURES``, as thousands of book-long texts would.
+    A doc_id rated twice counts twice, with each of its rows in ``docs``.
     """
     chosen = ratings.select("doc_id", "grade", F.xxhash64("doc_id", "grade").alias("h")).orderBy("h", "doc_id", "grade")
     chosen = chosen.limit(sample).select(F.col("doc_id").alias("rated"), "grade")
