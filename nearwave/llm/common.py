@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,18 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_runs(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Cuts a batch into runs of rows [i, j) of about ``limit`` characters, one row at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
-        if i > start and size + n > limit:
+def row_runs(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts rows of the given sizes into runs [i, j) of ``limit`` at most, one row at least."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > limit:
             yield start, i
-            start = i
-            size = 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def per_process(name: str, make: Callable[[], object]) -> object:

@@ -22,19 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwave.llm.common import per_process, text_runs
+from nearwave.llm.common import per_process, row_runs
 
 MODEL_FILE = "piece_bpe_32k.model"
 #: Scores are minus the rank of a merge; at this scale one step of 1000 ranks costs a factor e.
 THETA = 0.001
 SEED = 17
 #: Characters whose lattices are held at a time.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 500_000
 #: Bits of a draw.
 DRAW_BITS = 32
 SPACE = "▁"
@@ -236,13 +237,13 @@ def decode(ids: np.ndarray, pieces: Pieces) -> str:
     return b"".join([strings[i] for i in ids.tolist()])[1:].decode()
 
 
-def _encoded(batch: pa.RecordBatch, pieces: Pieces, seed: int) -> Iterator[tuple[int, int, list[str], list]]:
-    """Rows [i, j) of a batch of (key, text), their texts and their ids."""
-    keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    texts = batch.column(1).to_pylist()
-    for i, j in text_runs(texts, RUN_CHARS):
-        part = [t or "" for t in texts[i:j]]
-        yield i, j, part, encode(part, keys[i:j], pieces, seed)
+def _encoded(keys: pa.Array, texts: pa.Array, pieces: Pieces, seed: int) -> Iterator[tuple[int, int, list[str], list]]:
+    """Rows [i, j) of a batch, their texts and their ids; other rows stay in the batch."""
+    numbers = keys.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    for i, j in row_runs(sizes, RUN_CHARS):
+        part = [t or "" for t in texts.slice(i, j - i).to_pylist()]
+        yield i, j, part, encode(part, numbers[i:j], pieces, seed)
 
 
 def with_pieces(
@@ -256,18 +257,19 @@ def with_pieces(
     """
     path = public_tokenizers.path(model_file)
     kept = [c for c in docs.columns if c != "piece_ids"]
-    source = docs.select(F.xxhash64(key).alias("_key"), F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in kept])
+    at = kept.index("text") + 1
+    source = docs.select(F.xxhash64(key).alias("_key"), *[F.col(f"`{c}`") for c in kept])
     result = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("array<int>").alias("piece_ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = per_process(f"pieces of {path} at {theta}", lambda: Pieces(path, theta))
         for batch in batches:
-            for i, j, _, ids in _encoded(batch, pieces, seed):
+            for i, j, _, ids in _encoded(batch.column(0), batch.column(at), pieces, seed):
                 rows = batch.slice(i, j - i)
                 ends = np.cumsum([len(x) for x in ids])
                 offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()), mask=rows.column(1).is_null())
-                yield pa.RecordBatch.from_arrays([*rows.columns[2:], lists], names=[*kept, "piece_ids"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()), mask=rows.column(at).is_null())
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], lists], names=[*kept, "piece_ids"])
 
     return source.mapInArrow(run, result)
 
@@ -301,7 +303,7 @@ def piece_digest(docs: DataFrame, model_file: str = MODEL_FILE, theta: float = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = per_process(f"pieces of {path} at {theta}", lambda: Pieces(path, theta))
         for batch in batches:
-            for i, j, texts, ids in _encoded(batch, pieces, seed):
+            for i, j, texts, ids in _encoded(batch.column(0), batch.column(1), pieces, seed):
                 columns = [
                     batch.column(2).slice(i, j - i).cast(pa.int64()),
                     pa.array([len(x) for x in ids], pa.int64()),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearwave.llm.common import full_text, per_process, text_runs
+from nearwave.llm.common import full_text, per_process, row_runs
 from nearwave.llm.files import new_file, open_folder
 from nearwave.workdir import new_folder
 
@@ -185,7 +185,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         out = None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in text_runs(texts, 4_000_000):
+            for i, j in row_runs(list(map(len, texts)), 4_000_000):
                 if encoder is None:
                     encoder = per_process(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
                     end = np.array([end_id], encoder.type).tobytes()
