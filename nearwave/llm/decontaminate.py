@@ -1,23 +1,25 @@
-"""Benchmark decontamination by SimHash over item-sized windows, with DataFrame functions only.
-
-1. Every five-word shingle of every document is looked up among the benchmark's.  A hit lies at
-   known places of items, so it says where a window as long as the item would have to begin.
-   Windows without a common shingle have similarity zero: none is lost.
-2. Each window gets a SimHash of 64 bits over its words, weighted by how often they occur.  Items
-   have theirs in four blocks of 16 bits.  If two fingerprints differ in at most ``radius`` bits,
-   some block differs in at most radius // 4, so items are entered under every value that near
-   their own, and a window looks up its four blocks: all items within the radius are found.
-3. Candidates are verified by the weighted Jaccard similarity of their shingles (sum of the lesser
-   counts by sum of the larger ones), computed from the words themselves.
-
-What is shuffled are windows over benchmark text, not documents.  Equal windows are collapsed
-before they meet the items, so a passage that a third of the documents share is matched once.
+"""Benchmark decontamination by item-sized windows, with DataFrame functions only.
+
+1. Every five-word shingle of every document is looked up among the benchmark's.  Positions that
+   hit some item of ``n`` words are gathered by document and ``n``: numbers only, no text.
+2. A window has as many words as an item and lies in its document; in a document shorter than
+   the item it is the whole document.  A similarity of ``least`` takes a number of common shingles
+   that follows from it, so only windows with that many hits, wherever in the item those lie,
+   can match: none is lost.  Of windows with the same or fewer hits the first is enough.
+3. An item of m shingles has at least ``least`` * m of them in a matching window, so one of any
+   m - least * m + 1 is there.  The rarest ones are the item's keys, and a window
+   is compared with the items whose keys it holds.
+4. The weighted Jaccard similarity of the shingles (sum of the lesser counts by sum of the larger
+   ones) decides.  Shingles are told apart by two independent 64-bit hashes.
+
+There is no estimate on the way: what OP1_SQL finds is found.  What is shuffled are hits and
+windows over benchmark text, not documents.  Equal windows are collapsed before they meet the
+items, so a passage that a third of the documents share is matched once.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +28,10 @@ from nearwave.workdir import new_folder
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 11
-BLOCKS = 4
-BLOCK_BITS = 16
-#: A window is looked at if this share of its shingles hits, at its alignment.
-LEAST_HITS = 1 / 3
 #: Rows of 24 bytes of the benchmark's shingles that are broadcast at a time.
 BROADCAST_ROWS = 4_000_000
+#: Keeps a bound that is a whole number from being rounded up to the next.
+ROUNDING = 1e-9
 
 
 def words_of(text: Column) -> Column:
@@ -41,8 +40,14 @@ def words_of(text: Column) -> Column:
     return F.filter(runs, lambda w: w != "")
 
 
-def _shingle_hash(words: Column, i: Column) -> Column:
-    return F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE_WORDS)])
+def _shingle_hashes(words: Column) -> Column:
+    """128 bits of each shingle, in order."""
+
+    def both(i: Column) -> Column:
+        parts = [F.get(words, i + k) for k in range(SHINGLE_WORDS)]
+        return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+
+    return F.transform(_starts(words), both)
 
 
 def _starts(words: Column) -> Column:
@@ -51,82 +56,89 @@ def _starts(words: Column) -> Column:
     return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
 
 
-def shingles(words: Column) -> Column:
-    return F.transform(_starts(words), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE_WORDS), " "))
-
-
-def with_blocks(rows: DataFrame, words: str, names: list[str]) -> DataFrame:
-    """Different rows of ``rows`` with their SimHash as blocks of 16 bits, in columns ``names``.
-
-    A bit is set if over half of the words' hashes have it, words counted as often as they occur.
-    """
-    keys = rows.columns
-    hashed = rows.select(*keys, F.explode(words).alias("_word")).select(*keys, F.xxhash64("_word").alias("_hash"))
-    ones = [F.sum(F.shiftright("_hash", k).bitwiseAND(1)).alias(f"_ones{k}") for k in range(BLOCKS * BLOCK_BITS)]
-    counted = hashed.groupBy(*keys).agg(F.count("*").alias("_words"), *ones)
-
-    def block(b: int) -> Column:
-        bits = [
-            F.when(2 * F.col(f"_ones{b * BLOCK_BITS + k}") > F.col("_words"), 1 << k).otherwise(0)
-            for k in range(BLOCK_BITS)
-        ]
-        return sum(bits[1:], bits[0])
-
-    return counted.select(*keys, *[block(b).alias(name) for b, name in enumerate(names)])
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays, a value's weight being its count."""
+def _common(a: Column, b: Column) -> Column:
+    """Sum of the lesser counts of the values of two arrays."""
 
     def count(values: Column, value: Column) -> Column:
         return F.size(F.filter(values, lambda v: v == value))
 
-    common = F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda n, v: n + F.least(count(a, v), count(b, v))
-    )
-    return common / (F.size(a) + F.size(b) - common)
-
-
-def _near_masks(bits: int) -> Column:
-    """Every 16-bit mask with at most ``bits`` ones."""
-    masks = [sum(1 << k for k in chosen) for n in range(bits + 1) for chosen in combinations(range(BLOCK_BITS), n)]
-    return F.array(*map(F.lit, masks))
+    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, v: n + F.least(count(a, v), count(b, v)))
 
 
 def _hits(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, start, words): a row per hit and window that it would lie in."""
+    """(doc_id, text_hash, size, n, hit): a row per shingle of a document and length of items that have it."""
     # The one-element explode keeps the planner from splitting the text anew for every shingle.
     split = docs.select("doc_id", "text_hash", F.explode(F.array(words_of(F.col("text")))).alias("words"))
-    hashed = split.withColumn("hashes", F.transform(_starts(F.col("words")), lambda i: _shingle_hash(F.col("words"), i)))
-    each = hashed.select("doc_id", "text_hash", "words", F.posexplode("hashes").alias("pos", "shingle"))
-    start = F.col("pos") - F.col("offset")
-    hit = each.join(F.broadcast(places), "shingle").filter((start >= 0) & (start + F.col("n") <= F.size("words")))
-    return hit.select("doc_id", "text_hash", "n", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("words"))
+    hashed = split.select("doc_id", "text_hash", F.size("words").alias("size"), _shingle_hashes(F.col("words")).alias("hashes"))
+    each = hashed.select("doc_id", "text_hash", "size", F.posexplode("hashes").alias("pos", "key"))
+    keyed = each.select("doc_id", "text_hash", "size", "pos", "key.h1", "key.h2")
+    return keyed.join(F.broadcast(places), ["h1", "h2"]).select(
+        "doc_id", "text_hash", "size", "n", F.struct("pos", F.col("h1").alias("shingle")).alias("hit")
+    )
 
 
-def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, n, words) of the windows with enough hits at their alignment.
+def _windows(docs: DataFrame, places: DataFrame, least: float) -> DataFrame:
+    """(doc_id, text_hash, start, n, n_words, hits) of the windows with enough hits for ``least``.
 
+    ``hits`` are the window's shingles that items of ``n`` words have, sorted.  A window that ends
+    with a shingle without hit has no hit that the window before it lacks, and is left out.
     Places are broadcast up to ``BROADCAST_ROWS`` at a time: a larger benchmark takes more scans
     of the documents, never a shuffle of them.
     """
     parts = -(-places.count() // BROADCAST_ROWS) or 1
-    hits = [_hits(docs, places.filter(F.pmod("shingle", F.lit(parts)) == part)) for part in range(parts)]
+    found = [_hits(docs, places.filter(F.pmod("h1", F.lit(parts)) == part)) for part in range(parts)]
+    hits, n_shingles, enough = F.col("hits"), F.col("n_shingles"), F.col("enough")
+
+    def pos(j: Column) -> Column:
+        return F.get(hits, j)["pos"]
+
+    def ends_window(j: Column) -> Column:
+        """Enough hits end with hit ``j``; of those in the first window only its last one."""
+        follower = pos(j + 1)
+        last = (pos(j) >= n_shingles - 1) | follower.isNull() | (follower >= n_shingles)
+        return (j >= enough - 1) & (pos(j) - pos(j - enough + 1) < n_shingles) & last
+
+    start = F.greatest(F.lit(0), pos(F.col("j")) - n_shingles + 1)
+    from_hit = F.greatest(F.lit(0), F.col("j") - n_shingles + 1)
+    near = F.slice(hits, from_hit + 1, F.col("j") - from_hit + 1)
+    inside = F.filter(near, lambda hit: hit["pos"] >= F.col("start"))
+    item_shingles = F.col("n") - SHINGLE_WORDS + 1
+    return (
+        reduce(DataFrame.unionAll, found)
+        .groupBy("doc_id", "text_hash", "size", "n")
+        .agg(F.sort_array(F.collect_set("hit")).alias("hits"))
+        .withColumn("n_words", F.least("size", "n"))
+        .withColumn("n_shingles", F.col("n_words") - SHINGLE_WORDS + 1)
+        .withColumn("enough", F.ceil((item_shingles + n_shingles) * (least / (1 + least)) - ROUNDING).cast("int"))
+        .filter(F.size("hits") >= enough)
+        .withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), F.size("hits") - 1), ends_window)))
+        .withColumn("start", start)
+        .select(
+            "doc_id", "text_hash", "start", "n", "n_words", F.sort_array(F.transform(inside, lambda h: h["shingle"])).alias("hits")
+        )
+    )
+
+
+def _item_keys(items: DataFrame, least: float) -> DataFrame:
+    """(item, n, shingle): the rarest shingles of each item, one of which a matching window has."""
+    each = items.select("item", "n", "shingles").distinct().select("item", "n", F.explode("shingles").alias("shingle"))
+    rarity = each.groupBy("n", "shingle").agg(F.count("*").alias("often"))
+    m = F.size("ranked")
     return (
-        reduce(DataFrame.unionAll, hits)
-        .groupBy("doc_id", "text_hash", "start", "n")
-        .agg(F.count("*").alias("hits"), F.first("words").alias("words"))
-        .filter(F.col("hits") >= LEAST_HITS * (F.col("n") - SHINGLE_WORDS + 1))
-        .drop("hits")
+        each.join(rarity, ["n", "shingle"])
+        .groupBy("item", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
+        .select("item", "n", F.explode(F.slice("ranked", F.lit(1), m - F.ceil(m * least - ROUNDING).cast("int") + 1)).alias("key"))
+        .select("item", "n", F.col("key.shingle").alias("shingle"))
+        .distinct()
     )
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY
-) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, item_id, start, n_words, similarity): each document with each item it holds.
 
-    ``start`` is the first word of the most similar window (the first of equals), ``text_hash``
+    ``start`` is the first word of the most similar window (the first of equals), ``n_words`` its
+    length: the item's, or the document's if that is shorter.  ``text_hash``
     tells apart rows that share a doc_id.  Null or empty texts, on either side, and items
     of fewer than five words have no shingle and match nothing.  Rows without an id match like
     others and carry null.  Equal rows give one row; equal items one for each id.  Extra columns
@@ -134,64 +146,46 @@ def contaminated(
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "decontaminate")
-    items = (
-        benchmark.select("item_id", words_of(F.col("text")).alias("item_words"))
-        .withColumn("n", F.size("item_words"))
-        .filter(F.col("n") >= SHINGLE_WORDS)
-    )
-    # Which shingle lies where in an item of which length: how many items share it does not matter.
-    items.select("n", "item_words", F.posexplode(_starts(F.col("item_words"))).alias("offset", "i")).select(
-        _shingle_hash(F.col("item_words"), F.col("i")).alias("shingle"), "offset", "n"
-    ).distinct().write.parquet(f"{folder}/places")
-    places = spark.read.parquet(f"{folder}/places")
+    # What is joined later is written, so that joins are planned by its true size.
+    words = benchmark.select("item_id", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    words.filter(F.size("words") >= SHINGLE_WORDS).select(
+        "item_id", F.xxhash64("words").alias("item"), F.size("words").alias("n"), _shingle_hashes(F.col("words")).alias("keys")
+    ).write.parquet(f"{folder}/items")
+    stored = spark.read.parquet(f"{folder}/items").withColumn("shingles", F.col("keys.h1"))
+    # Which shingle lies in an item of which length: how many items share it does not matter.
+    stored.select("n", F.explode("keys").alias("key")).select("key.h1", "key.h2", "n").distinct().write.parquet(f"{folder}/places")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    _windows(rows, places).write.parquet(f"{folder}/windows")
-    windows = spark.read.parquet(f"{folder}/windows").withColumn("content", F.xxhash64("words", "n"))
+    _windows(rows, spark.read.parquet(f"{folder}/places"), least).write.parquet(f"{folder}/windows")
+    windows = spark.read.parquet(f"{folder}/windows").withColumn("content", F.xxhash64("n", "n_words", "hits"))
 
-    own, theirs = [f"own{b}" for b in range(BLOCKS)], [f"item{b}" for b in range(BLOCKS)]
-    asked = with_blocks(windows.select("words", "n").distinct(), "words", own).select(
-        "words", "n", *own, F.posexplode(F.array(*own)).alias("block", "value")
-    )
-    # Both sides of the benchmark are written, so that joins with them are planned by their true size.
-    with_blocks(items, "item_words", theirs).withColumn("item", F.xxhash64("item_id", "item_words")).write.parquet(
-        f"{folder}/items"
-    )
-    stored = spark.read.parquet(f"{folder}/items")
-    stored.select("item", "n", *theirs, F.posexplode(F.array(*theirs)).alias("block", "exact")).withColumn(
-        "mask", F.explode(_near_masks(radius // BLOCKS))
-    ).select("item", "n", *theirs, "block", F.col("exact").bitwiseXOR(F.col("mask")).alias("value")).write.parquet(
-        f"{folder}/entered"
-    )
-    apart = [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(own, theirs)]
-    # A pair may meet in several blocks; the first of them counts.
-    first = F.coalesce(*[F.when(apart[b] <= radius // BLOCKS, b) for b in range(BLOCKS)])
+    _item_keys(stored, least).write.parquet(f"{folder}/keys")
+    asked = windows.select("n", "n_words", "hits").distinct()
     near = (
-        asked.join(spark.read.parquet(f"{folder}/entered"), ["n", "block", "value"])
-        .filter((sum(apart[1:], apart[0]) <= radius) & (F.col("block") == first))
-        .select("words", F.col("n").alias("n_words"), "item")
-    )
-    # The generator keeps the shingles from being built anew for every comparison.
-    both = F.explode(
-        F.array(F.struct(shingles(F.col("words")).alias("a"), shingles(F.col("item_words")).alias("b")))
-    ).alias("shingles")
-    matches = (
-        near.join(stored.select("item", "item_id", "item_words"), "item")
-        .select("words", "n_words", "item_id", both)
-        .withColumn("similarity", similarity(F.col("shingles.a"), F.col("shingles.b")))
-        .filter(F.col("similarity") >= least)
-        .select(F.xxhash64("words", "n_words").alias("content"), F.col("words").alias("match_words"), "item_id", "similarity")
+        asked.select("n", "n_words", "hits", F.explode(F.array_distinct("hits")).alias("shingle"))
+        .join(spark.read.parquet(f"{folder}/keys"), ["n", "shingle"])
+        .select("n", "n_words", "hits", "item")
+        .distinct()
     )
+    # The generator keeps the common shingles from being counted anew for every use.
+    common = F.explode(F.array(_common(F.col("hits"), F.col("shingles")))).alias("common")
+    all_shingles = F.col("n") + F.col("n_words") - 2 * (SHINGLE_WORDS - 1)
+    near.join(stored.select("item", "shingles").distinct(), "item").select("n", "n_words", "hits", "item", common).withColumn(
+        "similarity", F.col("common") / (all_shingles - F.col("common"))
+    ).filter(F.col("similarity") >= least).select(
+        F.xxhash64("n", "n_words", "hits").alias("content"), F.col("hits").alias("match_hits"), "item", "similarity"
+    ).write.parquet(f"{folder}/matches")
+    matches = spark.read.parquet(f"{folder}/matches").join(stored.select("item", "item_id").distinct(), "item")
     return (
         windows.join(matches, "content")
-        .filter(F.col("words") == F.col("match_words"))
+        .filter(F.col("hits") == F.col("match_hits"))
         .groupBy("doc_id", "text_hash", "item_id")
-        .agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n")).alias("best"))
+        .agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n_words")).alias("best"))
         .select(
             "doc_id",
             "text_hash",
             "item_id",
             (-F.col("best.before")).cast("long").alias("start"),
-            F.col("best.n").cast("long").alias("n_words"),
+            F.col("best.n_words").cast("long").alias("n_words"),
             "best.similarity",
         )
     )

@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from nearwave.llm import decontaminate
 from nearwave.llm.decontaminate import contaminated, leaks, without_leaks
+from nearwave.llm.queries import OP1_SQL
 from tests.llm.conftest import ODD_TEXTS
 
 RNG = random.Random(11)
@@ -107,3 +109,32 @@ def test_odd_rows(docs_of, benchmark_of):
     assert leaks(docs.limit(0), benchmark).count() == 0
     assert leaks(docs, benchmark.limit(0)).count() == 0
     assert without_leaks(docs, benchmark.limit(0)).count() == len(rows)
+
+
+def sql_rows(docs, items):
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", list(rows.items()))
+    return sorted(con.execute(OP1_SQL).fetchall())
+
+
+def test_items_cut_at_the_edges(docs_of, benchmark_of):
+    rng = random.Random(3)
+    items = {i: " ".join(some_words(n, rng)) for i, n in enumerate([20, 39, 59])}
+    docs = {}
+    for i, item in items.items():
+        words, more = tokens(item), some_words(80, rng)
+        cut = len(words) // 20
+        docs[10 * i] = " ".join(words[cut:] + more)
+        docs[10 * i + 1] = " ".join(more + words[:-cut])
+        docs[10 * i + 2] = " ".join(more[:40] + words[cut:] + more[40:])
+    rows = sorted(tuple(r) for r in leaks(docs_of(list(docs.items())), benchmark_of(items)).collect())
+    assert rows == sql_rows(docs, items) and len(rows) == len(docs)
+
+
+def test_document_shorter_than_the_item(docs_of, benchmark_of):
+    words = some_words(39, random.Random(4))
+    docs = docs_of([(1, " ".join(words[:-1])), (2, " ".join(words[4:])), (3, " ".join(words[8:]))])
+    rows = sorted(tuple(r) for r in leaks(docs, benchmark_of({7: " ".join(words)})).collect())
+    assert rows == [(1, 7, 0, 38, 34 / 35), (2, 7, 0, 35, 31 / 35)]
