@@ -138,3 +138,18 @@ def test_document_shorter_than_the_item(docs_of, benchmark_of):
     docs = docs_of([(1, " ".join(words[:-1])), (2, " ".join(words[4:])), (3, " ".join(words[8:]))])
     rows = sorted(tuple(r) for r in leaks(docs, benchmark_of({7: " ".join(words)})).collect())
     assert rows == [(1, 7, 0, 38, 34 / 35), (2, 7, 0, 35, 31 / 35)]
+
+
+def test_windows_just_above_the_similarity(docs_of, benchmark_of):
+    rng = random.Random(12)
+    items, docs = {}, {}
+    for k in range(60):
+        n = [13, 30, 39, 50, 59, 150][k % 6]
+        words = some_words(n, rng)
+        m = n - 4
+        # The words at one end differ: the most that leave 0.8.
+        changed = max(c for c in range(1, n) if (m - c) / (m + c) >= 0.8)
+        items[k] = " ".join(words)
+        docs[k] = " ".join(some_words(60, rng) + words[:-changed] + ["other"] * changed + some_words(60, rng))
+    rows = sorted(tuple(r) for r in leaks(docs_of(list(docs.items())), benchmark_of(items)).collect())
+    assert rows == sql_rows(docs, items) and {(r[0], r[1]) for r in rows} >= {(k, k) for k in items}
