@@ -153,3 +153,18 @@ def test_windows_just_above_the_similarity(docs_of, benchmark_of):
         docs[k] = " ".join(some_words(60, rng) + words[:-changed] + ["other"] * changed + some_words(60, rng))
     rows = sorted(tuple(r) for r in leaks(docs_of(list(docs.items())), benchmark_of(items)).collect())
     assert rows == sql_rows(docs, items) and {(r[0], r[1]) for r in rows} >= {(k, k) for k in items}
+
+
+def test_inserted_and_deleted_words(docs_of, benchmark_of):
+    rng = random.Random(13)
+    items = {i: " ".join(some_words(n, rng)) for i, n in enumerate([100, 140, 160])}
+    docs = {}
+    for i, item in items.items():
+        words, third = tokens(item), len(tokens(item)) // 3
+        before, after = some_words(30, rng), some_words(30, rng)
+        longer = words[:third] + ["new"] + words[third : 2 * third] + ["new"] + words[2 * third :]
+        shorter = words[:third] + words[third + 1 : 2 * third] + words[2 * third + 1 :]
+        docs[10 * i] = " ".join(before + longer + after)
+        docs[10 * i + 1] = " ".join(before + shorter + after)
+    rows = sorted(tuple(r) for r in leaks(docs_of(list(docs.items())), benchmark_of(items)).collect())
+    assert rows == sql_rows(docs, items) and len(rows) == len(docs)
