@@ -4,8 +4,9 @@ A page is cut into blocks of text, each with the path of tags from the root to i
 one path look alike and mostly serve alike, so length and punctuation are summed by path:
 article paragraphs have long texts with many marks on few paths, menus short ones without.
 The two ratios are fused, smoothed over neighbouring blocks, and blocks above a threshold are
-content nodes.  The article is the smallest element that holds nearly all of their text; what
-lies in it belongs to the text, headings and short paragraphs too, unless an element on the way
+content nodes.  The article is the declared one around nearly all of their text; where none is
+declared, the smallest element that holds all of them, widened by parents that add text of the
+article's kind or its heading.  What lies in it belongs to the text, headings and short paragraphs too, unless an element on the way
 says by its tag, role, class or id that it is a menu, header, footer, sidebar, notice, advert,
 form or comment.
 """
@@ -30,7 +31,7 @@ SMOOTH = (0.4, 0.24, 0.06)
 THRESHOLD = 0.3
 #: Paths with more of their text in links are menus, outside a declared article.
 LINK_SHARE = 0.7
-#: The article holds this share of the content nodes' text.
+#: A declared article holds this share of the content nodes' text.
 COVER = 0.9
 
 BLOCK_TAGS = frozenset(
@@ -72,6 +73,8 @@ _TOKEN = re.compile(
 )
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)|\Z", re.I | re.S) for tag in _RAW}
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A slash at the end belongs to a value without quotes, as in <a href=/>, and closes nothing.
+_BARE_VALUE = re.compile(r"=\s*[^\s\"'>=]*/\s*\Z")
 _NAME_PART = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -206,7 +209,8 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             at = end.end()
             elements.pop()
             continue
-        if not m["attrs"].rstrip().endswith("/") or tag in BLOCK_TAGS:
+        closed = m["attrs"].rstrip().endswith("/") and not _BARE_VALUE.search(m["attrs"])
+        if not closed or tag in BLOCK_TAGS:
             stack.append(len(elements) - 1)
     for block in blocks:
         block.text = " ".join(html.unescape("".join(block.parts)).split())
@@ -236,6 +240,28 @@ def content_scores(blocks: list[Block], sums: dict[str, tuple[int, int, int, int
     return smooth
 
 
+def _widened(best: int, elements: list[Element], blocks: list[Block], menus: set[str]) -> int:
+    """The last parent of ``best`` up to which each adds its first-level heading, or neither page parts nor menus."""
+    chain = [best]
+    while chain[-1] > 0:
+        chain.append(elements[chain[-1]].parent)
+    level = {i: k for k, i in enumerate(chain)}
+    foreign, titled = set(), set()
+    for block in blocks:
+        i, title = block.element, False
+        while i not in level:
+            title |= elements[i].tag == "h1"
+            i = elements[i].parent
+        if block.excluded or block.path in menus:
+            foreign.add(level[i])
+        elif title:
+            titled.add(level[i])
+    k = 0
+    while k + 1 < len(chain) and (k + 1 in titled or k + 1 not in foreign):
+        k += 1
+    return chain[k]
+
+
 def main_text(page: str) -> str:
     """Blocks of the article, each with single spaces, joined by line ends."""
     elements, blocks = parse(page)
@@ -256,27 +282,26 @@ def main_text(page: str) -> str:
                 held[i] = held.get(i, 0.0) + n
                 i = elements[i].parent
     total = held.get(0, 0.0)
-    # The article: the deepest element that holds nearly all of it, but no single paragraph or list of one.
-    best = 0
-    for i, n in held.items():
-        if n >= COVER * total and i > best and elements[i].tag not in ("p", "li", "td", "pre", "blockquote", *HEADINGS):
-            best = i
-    # A declared article around it has the last word.
-    i = best
-    while i > 0:
-        if elements[i].tag in ("article", "main"):
-            best = i
-            break
-        i = elements[i].parent
+    def deepest(least: float) -> int:
+        """The deepest element with so much of it, but no single paragraph or list of one."""
+        inner = ("p", "li", "td", "pre", "blockquote", *HEADINGS)
+        return max((i for i, n in held.items() if n >= least and elements[i].tag not in inner), default=0)
+
+    # A declared article around nearly all of it has the last word.
+    best = deepest(COVER * total)
+    while best > 0 and elements[best].tag not in ("article", "main"):
+        best = elements[best].parent
+    declared = best > 0
+    # Where no element is declared the article, lists of links beside it are menus.
+    menus = {path for path, (_, chars, _, links) in sums.items() if links > LINK_SHARE * chars and not declared}
+    if not declared:
+        best = _widened(deepest(total), elements, blocks, menus)
 
     def inside(i: int) -> bool:
         while i > best:
             i = elements[i].parent
         return i == best
 
-    # Where no element is declared the article, lists of links beside it are menus.
-    declared = elements[best].tag in ("article", "main")
-    menus = {path for path, (_, chars, _, links) in sums.items() if links > LINK_SHARE * chars and not declared}
     return "\n".join(b.text for b in usable if inside(b.element) and b.path not in menus)
 
 

@@ -71,3 +71,21 @@ def test_query(spark):
     assert found[50].text == found[None].text == "\n".join(ARTICLE)
     assert all(r.n_chars == len(r.text) for r in found.values())
     assert main_texts(pages.limit(0)).count() == 0
+
+
+LEAD = "What this is about, in a line."
+LAST = "Corrected on Monday, after a hint."
+BODY = "".join(f"<p>{html.escape(p)} {html.escape(p)}</p>" for p in ARTICLE[1:] * 3)
+BODY_TEXT = [f"{p} {p}" for p in ARTICLE[1:] * 3]
+UNDECLARED = {
+    "divs": f"<div id=content>{TITLE}<div>{LEAD}</div><div>{BODY}</div><div>{LAST}</div></div>",
+    "section": f"<div id=content>{TITLE}<p>{LEAD}</p><section>{BODY}</section><p>{LAST}</p></div>",
+    "list": f"<div id=content>{TITLE}<p>{LEAD}</p><ul>{BODY.replace('<p>', '<li>').replace('</p>', '</li>')}</ul><p>{LAST}</p></div>",
+    "shares": f"<div id=content>{TITLE}<div class=share>Share, now.</div><div>{LEAD}</div><div>{BODY}</div><div>{LAST}</div></div>",
+}
+
+
+@pytest.mark.parametrize("kind", UNDECLARED)
+def test_heading_lead_and_end_outside_the_body(kind):
+    page = f"<body>{NAV}{UNDECLARED[kind]}{FOOTER}</body>"
+    assert main_text(page) == "\n".join([ARTICLE[0], LEAD, *BODY_TEXT, LAST])
