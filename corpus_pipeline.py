@@ -27,8 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate of their source."""
-    return without_site_boilerplate(docs)
+    """Documents without the lines that are boilerplate of their source.
+
+    Copies count once: they are still there, and a text must not become boilerplate by its own copies.
+    """
+    return without_site_boilerplate(docs, copies=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

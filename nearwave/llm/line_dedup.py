@@ -33,13 +33,19 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate_lines(
-    docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True
 ) -> DataFrame:
-    """(site, h1, h2, pages) of each boilerplate line."""
-    pages = docs.select(F.col(site).alias("site"), F.col("text"))
+    """(site, h1, h2, pages) of each boilerplate line; without ``copies`` equal texts of a site are one page."""
+    keys = F.array_distinct(F.transform(_lines(F.col("text")), _line_key)).alias("keys")
+    if copies:
+        pages = docs.select(F.col(site).alias("site"), keys)
+    else:
+        # The hashes stand for the texts, so that these are not shuffled.
+        hashes = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+        pages = docs.select(F.col(site).alias("site"), *hashes, keys).dropDuplicates(["site", "t1", "t2"])
     totals = pages.groupBy("site").agg(F.count("*").alias("site_pages"))
     counts = (
-        pages.select("site", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _line_key))).alias("key"))
+        pages.select("site", F.explode("keys").alias("key"))
         .filter("key is not null")
         .groupBy("site", "key.h1", "key.h2")
         .agg(F.count("*").alias("pages"))
@@ -54,19 +60,19 @@ def boilerplate_lines(
 
 
 def without_boilerplate(
-    docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True
 ) -> DataFrame:
     """``docs`` with the remaining text in ``text``, and ``_n_dropped``: the lines that went.
 
     Pages without a site form a site of their own.  A null text stays null and counts as a page
     without lines; an empty one stays empty.  Blank lines are never counted or dropped, a page
-    whose lines all go keeps its row with an empty text.  Repeated rows are pages each.  An
-    empty table gives no rows.  All other columns stay as they are.
+    whose lines all go keeps its row with an empty text.  Repeated rows are pages each, without ``copies`` equal
+    texts of a site are one.  An empty table gives no rows.  All other columns stay as they are.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "boilerplate")
     # Written, so that the planner knows its true size and broadcasts it only below Spark's limit.
-    boilerplate_lines(docs, site, max_ratio, min_pages).groupBy("site").agg(
+    boilerplate_lines(docs, site, max_ratio, min_pages, copies).groupBy("site").agg(
         F.collect_list(F.struct("h1", "h2")).alias("_boilerplate")
     ).withColumnRenamed("site", "_site").write.parquet(folder)
     by_site = spark.read.parquet(folder)

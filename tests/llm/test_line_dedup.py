@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 from nearwave.llm.line_dedup import line_report, without_site_boilerplate
 from tests.llm.conftest import ODD_TEXTS
 
@@ -54,3 +55,14 @@ def test_columns_stay(spark):
     assert cleaned.columns == docs.columns and cleaned.dtypes == docs.dtypes
     assert all(r.n_chars == (None if r.text is None else len(r.text)) and (r.site, r.pages, r.h1) == (1, 2, 3) for r in cleaned.collect())
     assert without_site_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_a_text_of_many_copies(spark):
+    rng = random.Random(10)
+    copy = "\n".join(f"copied line {i}" for i in range(5))
+    rows = [(i, "a", copy) for i in range(50)]
+    rows += [(50 + i, "a", "\n".join([f"line {rng.randrange(10**6)}" for _ in range(4)] + ["footer"])) for i in range(100)]
+    docs = frame(spark, rows).selectExpr("*", "length(text) AS n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert len(got) == 150 and all(got[i] == copy for i in range(50))
+    assert all(got[i] == text.removesuffix("\nfooter") for i, _, text in rows[50:])
