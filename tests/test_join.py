@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from conftest import answers, nearest
+from tests.brute_force import answers, nearest
 from nearwave.operators.blocks import as_queries
 from nearwave.plans import join
 from nearwave.sources.tables import write_block_index

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from conftest import answers, nearest
+from tests.brute_force import answers, nearest
 from nearwave.operators import ranges, scan
 from nearwave.operators.radius import sample_radius
 from nearwave.plans import join, search
