@@ -19,17 +19,3 @@ def docs_of(spark):
         return spark.createDataFrame(data, schema).repartition(partitions)
 
     return make
-
-
-#: Texts that every operator has to take: nulls, nothing, blanks, odd characters, long and repeated ones.
-ODD_TEXTS = [
-    None,
-    "",
-    " \n\t ",
-    "one",
-    "▁  x\x00y\x1cz é \U0001f600 　",
-    "word " * 20_000,
-    "x" * 30_000,
-    "same text twice, the very same text",
-    "same text twice, the very same text",
-]

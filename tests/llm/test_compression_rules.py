@@ -6,7 +6,7 @@ import pytest
 import zstandard
 
 from nearwave.llm.compression_rules import Bands, keep_good, measure, quality_rules
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 
 def plain(text):

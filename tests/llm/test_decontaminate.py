@@ -8,7 +8,7 @@ import pytest
 from nearwave.llm import decontaminate
 from nearwave.llm.decontaminate import contaminated, leaks, without_leaks
 from nearwave.llm.queries import OP1_SQL
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 RNG = random.Random(11)
 VOCABULARY = ["".join(RNG.choices("abcdefghij", k=RNG.randint(2, 7))) for _ in range(400)]

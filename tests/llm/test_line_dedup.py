@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 from nearwave.llm.line_dedup import line_report, without_site_boilerplate
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 BLANKS = " \t\v\f\r"
 

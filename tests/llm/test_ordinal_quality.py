@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from nearwave.llm.ordinal_quality import OrdinalModel, features, fit, graded, quality_classifier
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 MARKS = {0: ["awful", "nasty"], 1: ["### $$$", "&&& ***"], 2: []}
 

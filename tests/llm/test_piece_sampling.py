@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 
 from nearwave.llm.piece_sampling import MODEL_FILE, THETA, Pieces, decode, encode, piece_digest, with_pieces, with_text
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 PATH = public_tokenizers.path(MODEL_FILE)
 TEXTS = [t or "" for t in ODD_TEXTS] + ["  two  spaces and\n\nlines \n end ", "Größe: 10 €, naïve — 漢字かな", "a▁b ▁▁", "\n"]

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from nearwave.llm.pii import find_spans, luhn, mod97, personal_data, span_digest
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",

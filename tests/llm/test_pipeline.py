@@ -9,7 +9,7 @@ from checks.compare import database, difference
 from nearwave.llm import queries
 from nearwave.llm.compression_rules import quality_rules
 from nearwave.workdir import new_folder
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 from tests.llm.test_compression_rules import prose
 from tests.llm.test_decontaminate import brute_force
 from tests.llm.test_line_dedup import plain as plain_lines

@@ -5,7 +5,7 @@ import xxhash
 
 from nearwave.llm.components import components
 from nearwave.llm.simhash_dedup import BLOCKS, fingerprint, keep_one_per_group, near_duplicates, near_links, spanning_links
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 
 def plain_fingerprint(text):

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from nearwave.llm.tag_paths import main_text, main_texts
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 ARTICLE = [
     "A title & more",

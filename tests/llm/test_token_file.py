@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from nearwave.llm.token_file import END_ID, TOKENIZER_FILE, EliasFano, TokenFile, WordEncoder, token_digest, write_token_files
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.odd_texts import ODD_TEXTS
 
 PATH = public_tokenizers.path(TOKENIZER_FILE)
 TEXTS = [t or "" for t in ODD_TEXTS] + [
