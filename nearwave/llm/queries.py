@@ -13,6 +13,7 @@ from nearwave.llm.line_dedup import line_report
 from nearwave.llm.ordinal_quality import quality_classifier
 from nearwave.llm.piece_sampling import piece_digest
 from nearwave.llm.pii import personal_data, span_digest
+from nearwave.llm.ranked_search import ranked_search
 from nearwave.llm.simhash_dedup import near_duplicates
 from nearwave.llm.tag_paths import main_texts
 from nearwave.llm.token_file import token_digest
@@ -59,6 +60,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = (
     op1_decontamination,
     op2_compression_rules,
@@ -70,6 +75,7 @@ QUERIES = (
     op8_tag_paths,
     op9_token_file,
     op10_line_dedup,
+    op13_ranked_search,
 )
 
 #: Every window as long as an item that shares a shingle with it, compared by brute force.
@@ -149,10 +155,40 @@ select d.doc_id, d.source,
 from d left join joined on d.r = joined.r
 """
 
+#: Scores of all pairs of an item and a document that share a term.
+OP13_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+q as (
+  select distinct item_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+corpus as (
+  select cast(count(*) as bigint) as n_docs, cast(sum(len(terms)) as bigint) as n_terms from d where len(terms) > 0),
+m as (
+  select r, doc_id, 50 + (50 * len(terms) * n_docs) // n_terms as m from d, corpus where len(terms) > 0),
+tf as (
+  select r, term, count(*) as tf from (select r, unnest(terms) as term from d) where term in (select term from q) group by all),
+w as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w
+  from tf, corpus group by term, n_docs),
+scored as (
+  select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+  from q join tf using (term) join w using (term) join m using (r) group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank,
+       doc_id, score
+from scored where score > 0
+qualify rank <= 50
+"""
+
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in QUERIES}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op7_warc_index": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op7_warc_index": OP7_SQL, "op10_line_dedup": OP10_SQL, "op13_ranked_search": OP13_SQL}
