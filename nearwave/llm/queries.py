@@ -17,6 +17,7 @@ from nearwave.llm.ranked_search import ranked_search
 from nearwave.llm.simhash_dedup import near_duplicates
 from nearwave.llm.tag_paths import main_texts
 from nearwave.llm.token_file import token_digest
+from nearwave.llm.toxicity import toxicity
 from nearwave.llm.warc import archive_round_trip
 
 
@@ -60,6 +61,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +80,7 @@ QUERIES = (
     op8_tag_paths,
     op9_token_file,
     op10_line_dedup,
+    op12_toxicity,
     op13_ranked_search,
 )
 
