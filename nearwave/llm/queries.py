@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nearwave.llm.common import table
 from nearwave.llm.compression_rules import quality_rules
 from nearwave.llm.decontaminate import leaks
+from nearwave.llm.hard_negatives import hard_negatives
 from nearwave.llm.line_dedup import line_report
 from nearwave.llm.ordinal_quality import quality_classifier
 from nearwave.llm.piece_sampling import piece_digest
@@ -61,6 +62,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,6 +85,7 @@ QUERIES = (
     op8_tag_paths,
     op9_token_file,
     op10_line_dedup,
+    op11_hard_negatives,
     op12_toxicity,
     op13_ranked_search,
 )
@@ -161,6 +167,29 @@ select d.doc_id, d.source,
 from d left join joined on d.r = joined.r
 """
 
+#: Inner products of every anchor with every row.
+OP11_SQL = """
+with v as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as integer) as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as id,
+         cast(list_inner_product(a.q, b.q) as bigint) as score
+  from (select * from v where vec_id % 100 = 0) a join v b on a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id,
+       cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as integer) as rank,
+       id as negative_id, positive_score, score as negative_score
+from positives join pairs using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
 #: Scores of all pairs of an item and a document that share a term.
 OP13_SQL = r"""
 with d as (
@@ -197,4 +226,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op7_warc_index": OP7_SQL, "op10_line_dedup": OP10_SQL, "op13_ranked_search": OP13_SQL}
+    return {"op1_decontamination": OP1_SQL, "op7_warc_index": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_ranked_search": OP13_SQL}
