@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from nearwave.llm.common import full_text
+from nearwave.llm.common import full_text, row_runs
 
 #: Toxic rows to learn from at most, clean ones for each of them, and characters of all.
-SAMPLE, CLEAN_FOR_EACH, SAMPLE_CHARS = 2_000, 3, 8_000_000
+SAMPLE, CLEAN_FOR_EACH, SAMPLE_CHARS = 2_000, 3, 6_000_000
 BITS, DIM = 18, 8
 NGRAMS = (3, 4, 5, 6)
 #: Words of a passage; a text's last one also has what would be less than half of one more.
@@ -165,7 +165,10 @@ class ToxicityModel:
 
     def log_odds(self, g: Grams) -> np.ndarray:
         """Of each passage."""
-        sums = np.add.reduceat(np.append(self.weights[g.gram], 0.0), g.ends[:-1]) if len(g.counts) else np.zeros(0)
+        sums = np.zeros(len(g.counts))
+        for i, j in row_runs(g.counts.tolist(), RUN_CHARS):
+            weights = np.append(self.weights[g.gram[g.ends[i] : g.ends[j]]], 0.0)
+            sums[i:j] = np.add.reduceat(weights, g.ends[i:j] - g.ends[i])
         return self.bias + g.means(np.where(g.counts > 0, sums, 0.0))
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -239,9 +242,10 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 3) -> ToxicityModel:
         share = (np.sum(toxic) + 0.5) / (len(texts) + 1.0)
         return ToxicityModel(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     # An n-gram of one or two texts would only tell these texts from others.
-    text_and_gram = np.unique(np.repeat(g.text_of, g.counts) << BITS | g.gram)
-    known = np.bincount(text_and_gram & _MASK, minlength=1 << BITS) >= min(LEAST_TEXTS, len(texts) // 20)
-    learner = _Learner(seed, known)
+    in_texts = np.zeros(1 << BITS, np.int64)
+    for i, j in zip(*(np.searchsorted(g.text_of, range(k, len(texts) + k)) for k in (0, 1))):
+        in_texts[np.unique(g.gram[g.ends[i] : g.ends[j]])] += 1
+    learner = _Learner(seed, in_texts >= min(LEAST_TEXTS, len(texts) // 20))
     bad, clean = usable[labels[usable] == 1], usable[labels[usable] == 0]
     learner.epoch(g, usable, labels[usable])
     for _ in range(ROUNDS):
