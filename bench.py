@@ -17,10 +17,6 @@ from checks.compare import session
 from checks.queries import all_queries, spend, spend_index, vector_index
 
 
-# Whole tables as query sets are the join's work (knn_join is timed); these two are there for results only.
-NOT_TIMED = ("knn_scan_many", "knn_index_many")
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
@@ -28,7 +24,7 @@ def main() -> None:
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
-    names = chosen.split(",") if chosen else [name for name in queries if name not in NOT_TIMED]
+    names = chosen.split(",") if chosen else list(queries)
     queries = {name: queries[name] for name in names}
 
     seconds = {}

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from nearwave.functions.arrow import at_positions, flat_lists
 
-# Points of the queries that travel with the tasks at a time; a longer query is a pack of its own.
+# Points of the queries, and queries, that travel with the tasks at a time, about.
 PACK_POINTS = 1 << 20
+PACK_QUERIES = 1000
 # Points looked at before rows already too far away are dropped: few at first, then more.
 FIRST_STEP = 4
 LARGEST_STEP = 64
@@ -51,24 +52,24 @@ def check_unique(queries: DataFrame) -> None:
         raise ValueError("query ids must be unique")
 
 
-def query_packs(queries: DataFrame, pack_points: int | None = None) -> Iterator[list[Query]]:
-    """All queries with points, some at a time: the driver holds a pack and a partition's rows."""
+def n_packs(queries: DataFrame) -> int:
+    """Packs that the queries fill, by their points or by their number."""
+    size = queries.agg(F.sum(F.size("q")).alias("points"), F.count(F.lit(1)).alias("n")).first()
+    return max(-(-(size.points or 0) // PACK_POINTS), -(-size.n // PACK_QUERIES))
+
+
+def query_packs(queries: DataFrame) -> Iterator[list[Query]]:
+    """All queries with points, a pack at a time: each is the queries of some hashes of the id."""
     check_unique(queries)
-    most = pack_points or PACK_POINTS
-    pack: list[Query] = []
-    n = 0
+    n = n_packs(queries)
     rows = queries.filter(F.size("q") > 0).select(
         F.col("qid").cast("bigint"), F.col("pos").cast("array<bigint>"), F.col("q").cast("array<double>")
     )
-    for row in rows.toLocalIterator():
-        query = Query(row.qid, np.array(row.pos, np.int64), np.array(row.q, np.float64))
-        if pack and n + len(query.q) > most:
-            yield sorted(pack, key=lambda q: q.qid)
-            pack, n = [], 0
-        pack.append(query)
-        n += len(query.q)
-    if pack:
-        yield sorted(pack, key=lambda q: q.qid)
+    for i in range(n):
+        part = rows.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) if n > 1 else rows
+        found = [Query(r.qid, np.array(r.pos, np.int64), np.array(r.q, np.float64)) for r in part.collect()]
+        if found:
+            yield sorted(found, key=lambda q: q.qid)
 
 
 def distances(matrix: np.ndarray, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:

@@ -8,26 +8,28 @@ from collections.abc import Callable
 from itertools import chain
 from math import inf
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwave.operators import ranges
+from nearwave.operators.asked import measured, query_parts, store_parts, within_radius
+from nearwave.operators.many import StoredQueries, scan_many, store_queries
 from nearwave.operators.radius import (
     collect_radius,
     estimated_radius,
     sample_radius,
     sample_rank,
 )
-from nearwave.operators.scan import Query, query_packs, scan, scan_pairs
+from nearwave.operators.scan import Query, n_packs, query_packs, scan, scan_pairs
 from nearwave.operators.topk import top_k
 from nearwave.sources.tables import BlockIndex, UnstoredIndex
 from nearwave.workdir import new_folder
 
 
 def by_packs(search: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Lets ``search`` take its ``queries`` as a table of any size.
+    """Lets ``search`` take its ``queries`` as a table: for comparisons, whose settings are per query on the driver.
 
-    Queries come to the driver a pack at a time, and each pack is one run of the same plan.
+    Larger tables come a pack at a time, and each pack is one run of the same plan.
     Answers of several packs are gathered in a table in the shared folder.
     """
     signature = inspect.signature(search)
@@ -60,20 +62,34 @@ def local_queries(queries: DataFrame | list[Query]) -> list[Query]:
     return queries if isinstance(queries, list) else [q for pack in query_packs(queries) for q in pack]
 
 
-@by_packs
+def _few(queries: DataFrame | list[Query]) -> list[Query] | None:
+    """The queries as objects if they are one pack at most, else None."""
+    if isinstance(queries, list):
+        return queries
+    return local_queries(queries) if n_packs(queries) <= 1 else None
+
+
 def knn_scan(
     series: DataFrame, queries: DataFrame | list[Query], k: int, exclude_self: bool = False
 ) -> DataFrame:
-    """Brute force over every series; positions of the query are honoured, gaps included."""
-    return top_k(scan_pairs(scan(series, queries, k, exclude_self=exclude_self)), k)
+    """Brute force over every series; positions of the query are honoured, gaps included.
+
+    One scan of the series for query tables of any size.
+    """
+    few = _few(queries)
+    if few is None:
+        return top_k(scan_many(series, store_queries(queries), k, exclude_self=exclude_self), k)
+    return top_k(scan_pairs(scan(series, few, k, exclude_self=exclude_self)), k)
 
 
-@by_packs
 def knn_by_id_table(
     table: DataFrame, queries: DataFrame | list[Query], k: int, exclude_self: bool = False
 ) -> DataFrame:
     """Brute force over a stored id table; series and query must have one length."""
-    scanned = scan(table, queries, k, full_length=True, exclude_self=exclude_self)
+    few = _few(queries)
+    if few is None:
+        return top_k(scan_many(table, store_queries(queries), k, full_length=True, exclude_self=exclude_self), k)
+    scanned = scan(table, few, k, full_length=True, exclude_self=exclude_self)
     return top_k(scan_pairs(scanned), k)
 
 
@@ -111,7 +127,6 @@ def search_within(
     return ranges.complete_candidates(ranges.near_blocks(index, rows, block_filter, prune_distance, exclude_self))
 
 
-@by_packs
 def knn_within_radius(
     index: BlockIndex,
     queries: DataFrame | list[Query],
@@ -120,8 +135,11 @@ def knn_within_radius(
     block_filter: bool = True,
 ) -> DataFrame:
     """One pass at a given radius: the k nearest among the complete candidates."""
-    radii = radius if isinstance(radius, dict) else {q.qid: float(radius) for q in queries}
-    return top_k(search_within(index, queries, radii, block_filter), k)
+    few = _few(queries)
+    if few is None:
+        return top_k(search_many(index, store_queries(queries), _given(index, radius), block_filter, False), k)
+    radii = radius if isinstance(radius, dict) else {q.qid: float(radius) for q in few}
+    return top_k(search_within(index, few, radii, block_filter), k)
 
 
 def envelope_radius(
@@ -154,7 +172,33 @@ def checked_radius(
     return out
 
 
-@by_packs
+def _given(index: BlockIndex, radius: float | dict[int, float]) -> Column | DataFrame:
+    if isinstance(radius, dict):
+        return index.spark.createDataFrame([(q, float(r)) for q, r in radius.items()], "qid BIGINT, radius DOUBLE")
+    return F.lit(float(radius))
+
+
+def _with_radius(index: BlockIndex, asked: StoredQueries, radius: Column | DataFrame) -> DataFrame:
+    """The stored queries with their radius, infinite where none is given."""
+    queries = asked.table(index.blocks)
+    if isinstance(radius, Column):
+        return queries.withColumn("radius", radius)
+    return queries.join(radius, "qid", "left").withColumn("radius", F.coalesce("radius", F.lit(inf)))
+
+
+def search_many(
+    index: BlockIndex,
+    asked: StoredQueries,
+    radius: Column | DataFrame,
+    block_filter: bool = True,
+    prune: bool = True,
+    exclude_self: bool = False,
+) -> DataFrame:
+    """:func:`search_within` for stored queries; ``radius`` is a column or a table ``(qid, radius)``."""
+    parts = store_parts(query_parts(_with_radius(index, asked, radius), index.t_len), index)
+    return ranges.complete_candidates(measured(index, parts, within_radius(block_filter, prune, exclude_self)))
+
+
 def knn_index(
     index: BlockIndex,
     queries: DataFrame | list[Query],
@@ -169,18 +213,29 @@ def knn_index(
     ``radius="sample"`` takes true distances to the index's sample: always large enough,
     so one pass is exact.  ``radius="estimate"`` takes the envelope estimate, checks it
     with a first pass, and searches with what the check leaves.  Given radii are taken as they are.
+    Query tables beyond a pack need neither: see the comment.
     """
+    if isinstance(radius, str) and radius not in ("sample", "estimate"):
+        raise ValueError(f"unknown radius {radius!r}")
+    few = _few(queries)
+    if few is None:
+        asked = store_queries(queries)
+        if isinstance(radius, str):
+            # A time block alone lets too many pairs through: queries meet the series whole, put together
+            # from the time blocks they touch, and no pair leaves a task that is not among its k nearest.
+            first = asked.first // index.t_len
+            series = index.series(first, asked.last // index.t_len)
+            return top_k(scan_many(series, asked, k, start=first * index.t_len, exclude_self=exclude_self), k)
+        return top_k(search_many(index, asked, _given(index, radius), block_filter, True, exclude_self), k)
     if isinstance(radius, dict):
         radii = radius
     elif radius == "sample":
-        radii = sample_radius(index.sample, queries, k, exclude_self)
-    elif radius == "estimate":
-        guess = envelope_radius(index, queries, k, sample_num)
-        guess = {q.qid: guess.get(q.qid, inf) for q in queries}
-        radii = checked_radius(index, queries, k, guess, block_filter, exclude_self)
+        radii = sample_radius(index.sample, few, k, exclude_self)
     else:
-        raise ValueError(f"unknown radius {radius!r}")
-    return top_k(search_within(index, queries, radii, block_filter, True, exclude_self), k)
+        guess = envelope_radius(index, few, k, sample_num)
+        guess = {q.qid: guess.get(q.qid, inf) for q in few}
+        radii = checked_radius(index, few, k, guess, block_filter, exclude_self)
+    return top_k(search_within(index, few, radii, block_filter, True, exclude_self), k)
 
 
 # Share of a sample left by the index's filters above which a full scan is cheaper.
@@ -198,7 +253,6 @@ def candidate_share(index: BlockIndex, queries: list[Query], radius: dict[int, f
     return kept / (n * len(queries))
 
 
-@by_packs
 def knn(
     queries: DataFrame | list[Query],
     k: int,
@@ -215,10 +269,16 @@ def knn(
     (``block_filter``, ``radius``, ``sample_num``) are fine with ``auto`` whichever way it takes.
     """
     if method == "auto":
-        radii = sample_radius(index.sample, queries, k, options.get("exclude_self", False))
-        if candidate_share(index, queries, radii) > SCAN_ABOVE_SHARE:
-            return knn_scan(series, queries, k, exclude_self=options.get("exclude_self", False))
-        return knn_index(index, queries, k, **{"radius": radii} | options)
+        exclude_self = options.get("exclude_self", False)
+        few = _few(queries)
+        # Of a large table one pack, chosen by a hash of the ids, speaks for all.
+        some = next(query_packs(queries), []) if few is None else few
+        radii = sample_radius(index.sample, some, k, exclude_self)
+        if candidate_share(index, some, radii) > SCAN_ABOVE_SHARE:
+            return knn_scan(series, queries if few is None else few, k, exclude_self=exclude_self)
+        if few is None:
+            return knn_index(index, queries, k, **options)
+        return knn_index(index, few, k, **{"radius": radii} | options)
     if method == "scan":
         return knn_scan(series, queries, k, **options)
     if method == "id_table":

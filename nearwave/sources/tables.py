@@ -74,6 +74,10 @@ class BlockIndex:
     def blocks(self) -> DataFrame:
         return _read_blocks(self.spark, self.path).drop("sampled")
 
+    def series(self, first: int, last: int) -> DataFrame:
+        """``(id, v)`` of all series, put together from the time blocks ``first`` to ``last``."""
+        return _whole_series(self.blocks.filter(F.col("tb_dir").between(first, last)))
+
     @property
     def sample(self) -> DataFrame:
         return read_series_table(self.spark, f"{self.path}/sample")
@@ -121,11 +125,10 @@ def _stored_counts(blocks: DataFrame) -> tuple[int, int, int | None]:
     return n_series, sum(r.rows for r in per_tb), length
 
 
-def _stored_sample(blocks: DataFrame) -> DataFrame:
-    """Whole series of the sampled ids, put together from their stored blocks."""
+def _whole_series(blocks: DataFrame) -> DataFrame:
+    """Series put together from their stored blocks."""
     return (
-        blocks.filter("sampled = 1")
-        .groupBy("id")
+        blocks.groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("tb", "seg"))).alias("parts"))
         .select("id", F.flatten(F.col("parts.seg")).alias("v"))
     )
@@ -162,7 +165,7 @@ def write_block_index(
     )
     blocks = _read_blocks(spark, path)
     n_series, n_blocks, length = _stored_counts(blocks)
-    _stored_sample(blocks).write.mode(mode).parquet(f"{path}/sample")
+    _whole_series(blocks.filter("sampled = 1")).write.mode(mode).parquet(f"{path}/sample")
     meta = [(t_len, v_len, n_series, n_blocks, length, sample_num)]
     spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
     return open_block_index(spark, path)
