@@ -209,6 +209,18 @@ FILTERED_PAIRS = f"""fp as (
   join (select qid, q_hi as q_max, q_lo as q_min from qe) using (qid) join rad using (qid)
   where {_lower_bound('s_', 'q_')} <= r)"""
 
+# The customer series after a second write and a removal.
+REPLACED = f"""{_customers('1', 'counted')},
+z as (
+  select id, pos, v from s where id % 13 <> 0 and id % 7 <> 0 and id % 5 <> 0
+  union all select id, pos, v from s where id % 13 <> 0 and id % 7 = 0 and pos < {P.SHORTER}
+  union all select id, pos, v from counted where id % 13 <> 0 and id % 7 <> 0 and id % 5 = 0
+  union all select id + {P.NEW_IDS}, pos, v + 100 from s where id % 11 = 0)"""
+
+REPLACED_PAIRS = """pairs as (
+  select q.qid, z.id, max(abs(z.v - q.v)) as dist
+  from q join z using (pos) group by 1, 2 having count(*) = (select count(distinct pos) from s))"""
+
 # Noise
 
 
@@ -383,6 +395,8 @@ from b join (select id, tb, count(*) as n_vb from vb group by 1, 2) using (id, t
         + f"""select id, cast(pos // {P.SPEND_T} as integer) as tb, 'value' as kind,
        cast(pos % {P.SPEND_T} as integer) as at, v as hi, v as lo from s union all
 select id, tb, 'envelope', cast(vblk as integer), mx, mn from vb""",
+        "replaced_series": _with(SPEND, REPLACED) + "select id, pos, v from z",
+        "knn_replaced": _with(SPEND, REPLACED, QUERIES, REPLACED_PAIRS) + _top("pairs"),
         "time_blocks": _with(SPEND, ALL_QUERIES, SPEND_BLOCKS) + "select id, tb, tmax, tmin, n from b",
         "value_blocks": _with(VECTORS, ALL_QUERIES, _blocks(P.VECTOR_T, P.VECTOR_V))
         + "select id, tb, vblk, mx, mn from vb",

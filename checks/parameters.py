@@ -19,3 +19,6 @@ VALUE_BLOCKS = [(16, 1), (16, 2), (16, 4), (16, 16)]
 JITTER_RATE = 0.1
 AUGMENT_SIZE, AUGMENT_DIM = 2, 1
 OBSERVED_ABOVE = 150.0
+# Length of the series that a second write shortens, and what is added to ids that it adds.
+SHORTER = 12
+NEW_IDS = 1_000_000_000

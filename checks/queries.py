@@ -21,6 +21,7 @@ from nearwave.operators.topk import answer_radius
 from nearwave.plans import jobs, search, sweeps
 from nearwave.plans.join import knn_join as join_all
 from nearwave.sources import tables, text
+from nearwave.sources.store import SeriesStore
 from nearwave.workdir import new_folder
 
 _indexes: dict[tuple, tables.BlockIndex] = {}
@@ -193,6 +194,29 @@ def block_contents(spark, sf_dir):
     return values.unionAll(envelopes.select("id", "tb", F.lit("envelope"), "at", "e.mx", "e.mn"))
 
 
+def _store_after_writes(spark, sf_dir) -> SeriesStore:
+    """The customer series after a second write (changed, shortened and new ids) and a removal."""
+    first, orders = spend(spark, sf_dir), fixtures.cumulative_orders(spark, sf_dir)
+    changed = orders.filter("id % 5 = 0 AND id % 7 <> 0").select("id", F.col("v").cast("array<double>").alias("v"))
+    shorter = first.filter("id % 7 = 0").select("id", F.slice("v", 1, P.SHORTER).alias("v"))
+    added = first.filter("id % 11 = 0").select(
+        (F.col("id") + P.NEW_IDS).alias("id"), F.transform("v", lambda x: x + 100).alias("v")
+    )
+    store = SeriesStore.create(
+        spark, new_folder(spark, "store"), P.SPEND_T, P.SPEND_V, P.SAMPLE_NUM, P.SAMPLE_SEED
+    ).put(first)
+    return store.put(changed.unionAll(shorter).unionAll(added)).remove(first.filter("id % 13 = 0").select("id"))
+
+
+def replaced_series(spark, sf_dir):
+    return blocks.points(_store_after_writes(spark, sf_dir).series())
+
+
+def knn_replaced(spark, sf_dir):
+    """Index search of a store after writes that replace, shorten, add and remove series."""
+    return search.knn_index(_store_after_writes(spark, sf_dir), _spend_queries(spark, sf_dir), P.K)
+
+
 # Blocks and bounds
 
 
@@ -489,6 +513,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "series_by_id": series_by_id,
         "block_index": block_index,
         "block_contents": block_contents,
+        "replaced_series": replaced_series,
+        "knn_replaced": knn_replaced,
         "time_blocks": time_blocks,
         "value_blocks": value_blocks,
         "series_envelope": series_envelope,

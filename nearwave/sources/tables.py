@@ -72,11 +72,11 @@ class BlockIndex:
 
     @property
     def blocks(self) -> DataFrame:
-        return _read_blocks(self.spark, self.path).drop("sampled")
+        return read_blocks(self.spark, self.path).drop("sampled")
 
     def series(self, first: int, last: int) -> DataFrame:
         """``(id, v)`` of all series, put together from the time blocks ``first`` to ``last``."""
-        return _whole_series(self.blocks.filter(F.col("tb_dir").between(first, last)))
+        return whole_series(self.blocks.filter(F.col("tb_dir").between(first, last)))
 
     @property
     def sample(self) -> DataFrame:
@@ -105,11 +105,11 @@ class UnstoredIndex:
         return time_blocks(self.series, self.t_len, self.v_len, values=False).withColumn("tb_dir", F.col("tb"))
 
 
-def _read_blocks(spark: SparkSession, path: str) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED_BLOCK_SCHEMA).parquet(f"{path}/blocks")
 
 
-def _stored_counts(blocks: DataFrame) -> tuple[int, int, int | None]:
+def stored_counts(blocks: DataFrame) -> tuple[int, int, int | None]:
     """Series, block rows and the common length, read from the table just written."""
     per_tb = sorted(
         blocks.groupBy("tb")
@@ -125,7 +125,7 @@ def _stored_counts(blocks: DataFrame) -> tuple[int, int, int | None]:
     return n_series, sum(r.rows for r in per_tb), length
 
 
-def _whole_series(blocks: DataFrame) -> DataFrame:
+def whole_series(blocks: DataFrame) -> DataFrame:
     """Series put together from their stored blocks."""
     return (
         blocks.groupBy("id")
@@ -134,25 +134,17 @@ def _whole_series(blocks: DataFrame) -> DataFrame:
     )
 
 
-def write_block_index(
-    series: DataFrame,
-    path: str,
-    t_len: int,
-    v_len: int,
-    sample_num: int = 1000,
-    seed: int = 0,
-    mode: str = "errorifexists",
-) -> BlockIndex:
-    """Cut series into blocks and store them; ids must be unique (see ``last_per_id``).
+def write_blocks(
+    series: DataFrame, path: str, t_len: int, v_len: int, fraction: float, seed: int = 0, mode: str = "errorifexists"
+) -> None:
+    """Cut series into blocks and store them under ``path``/blocks, those of a ``fraction`` of the ids apart.
 
     The range partitioning is over the whole sort key: rows that share one block maximum
     are still spread by id, so a value held by a third of the series splits over tasks.
     """
-    spark = series.sparkSession
-    size = series.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("v")).alias("values")).first()
-    fraction = sample_fraction(sample_num, size.rows)
+    n_values = series.agg(F.sum(F.size("v"))).first()[0] or 0
     # Tasks follow the data, whatever the session's number of shuffle partitions.
-    tasks = spark.sparkContext.defaultParallelism + (size["values"] or 0) // VALUES_PER_TASK
+    tasks = series.sparkSession.sparkContext.defaultParallelism + n_values // VALUES_PER_TASK
     (
         time_blocks(series, t_len, v_len)
         .repartitionByRange(tasks, *BLOCK_KEY)
@@ -163,9 +155,23 @@ def write_block_index(
         .partitionBy("tb_dir", "sampled")
         .parquet(f"{path}/blocks")
     )
-    blocks = _read_blocks(spark, path)
-    n_series, n_blocks, length = _stored_counts(blocks)
-    _whole_series(blocks.filter("sampled = 1")).write.mode(mode).parquet(f"{path}/sample")
+
+
+def write_block_index(
+    series: DataFrame,
+    path: str,
+    t_len: int,
+    v_len: int,
+    sample_num: int = 1000,
+    seed: int = 0,
+    mode: str = "errorifexists",
+) -> BlockIndex:
+    """Cut series into blocks and store them; ids must be unique (see ``last_per_id``)."""
+    spark = series.sparkSession
+    write_blocks(series, path, t_len, v_len, sample_fraction(sample_num, series.count()), seed, mode)
+    blocks = read_blocks(spark, path)
+    n_series, n_blocks, length = stored_counts(blocks)
+    whole_series(blocks.filter("sampled = 1")).write.mode(mode).parquet(f"{path}/sample")
     meta = [(t_len, v_len, n_series, n_blocks, length, sample_num)]
     spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
     return open_block_index(spark, path)
