@@ -11,13 +11,17 @@ stored, so any boundary is found by reading a few words, without a table of offs
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,61 +114,124 @@ class WordEncoder:
     letters or digits is a token of its own by the same rules.  Only A-Z are lowered here (the
     tokenizer lowers all); its special strings are found before it lowers, so a text that holds
     one keeps its case.
+
+    Known words are numbered; their ids lie back to back in one array, from which a text's are gathered.
+    When there are too many words, those met in one run of texts only are forgotten.
     """
 
     MAX_WORDS = 600_000
     MARKS = b".,;:!?"
+    #: The tokenizer's own parts of a word, so that many words can be encoded in one string.
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.IGNORECASE)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.type = np.dtype("<u2" if len(self.ends_word) <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.size, self.runs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.type)
+
+    def _encoded(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words in another order, how many ids each has, and the ids back to back."""
+        texts = b"\n".join(words).decode().split("\n")
+        special = re.compile("|".join(map(re.escape, self.special)) or "(?!)", re.IGNORECASE)
+        done: list[bytes] = []
+        sizes, flat = [], []
+        # Words of letters are one part each; of others the parts are counted.
+        letters = [(w, t, 1) for w, t in zip(words, texts) if t.isalpha()]
+        others = [(w, t, len(self.PARTS.findall(t))) for w, t in zip(words, texts) if not t.isalpha()]
+        alone = [row for row in others if not row[2] or special.search(row[1])]
+        others = [row for row in others if row[2] and not special.search(row[1])]
+        for group in (letters, others):
+            for start in range(0, len(group), 1000):
+                part, texts, n = zip(*group[start : start + 1000])
+                encoded = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0]
+                ids = np.array(encoded.ids, self.type)
+                ends = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)
+                last = np.cumsum(n)
+                if len(ends) != last[-1] + 1:
+                    alone += group[start : start + 1000]
+                    continue
+                done += part
+                sizes.append(np.diff(ends[np.append(0, last)]))
+                flat.append(ids)
+        for start in range(0, len(alone), 20_000):
+            part, texts, _ = zip(*alone[start : start + 20_000])
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+            done += part
+            sizes.append(np.array(list(map(len, ids)), np.int64))
+            flat.append(np.array(list(chain.from_iterable(ids)), self.type))
+        return done, np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, self.type), *flat])
 
     def _learn(self, words: list[bytes]) -> None:
-        known, width = self.known, self.type.itemsize
-        plain, other = [], []
-        for word in words:
-            text = word.decode()
-            (plain if text.isalpha() else other).append((word, text))
-        for start in range(0, len(plain), 1000):
-            # Letters only: one token run each, so many go in one string and are parted at run ends.
-            part = plain[start : start + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, self.type)
-            stops = ((np.flatnonzero(self.ends_word[ids]) + 1) * width).tolist()
-            if len(stops) != len(part):
-                other += part
-                continue
-            data = ids.tobytes()
-            known.update(zip((w for w, _ in part), map(data.__getitem__, map(slice, [0, *stops], stops))))
-        for start in range(0, len(other), 20_000):
-            part = other[start : start + 20_000]
-            found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            for (word, _), encoding in zip(part, found):
-                known[word] = np.array(encoding.ids, self.type).tobytes()
+        marked = [len(w) > 1 and w[-1] in self.MARKS and w[:-1].isalnum() for w in words]
+        parts = [part for w, m in zip(words, marked) for part in ((w[:-1], w[-1:]) if m else (w,))]
+        done, sizes, flat = self._encoded(sorted(set(parts) - {b""}))
+        done.append(b"")
+        sizes = np.append(sizes, 0)
+        place = dict(zip(done, range(len(done))))
+        at = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+        size = sizes[at]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - size), size) + np.arange(size.sum())]
+        first = np.cumsum(1 + np.array(marked, np.int64)) - 1 - np.array(marked, np.int64)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.size = np.concatenate([self.size, np.add.reduceat(size, first)])
+        self.runs = np.concatenate([self.runs, np.zeros(len(words), np.int64)])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _make_room(self, n_new: int) -> None:
+        """Forgets words met in few runs until at most half the room is taken."""
+        if len(self.number) + n_new <= self.MAX_WORDS:
+            return
+        least = 2
+        while (kept := self.runs >= least).sum() + n_new > self.MAX_WORDS // 2 and kept.any():
+            least *= 2
+        self.flat = self.flat[np.repeat(kept, self.size)]
+        words = [w for w, k in zip(self.number, kept.tolist()) if k]
+        self.number = dict(zip(words, range(len(words))))
+        self.size, self.runs = self.size[kept], self.runs[kept] // 2
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of an array of ``type``."""
-        known = self.known
-        split = []
-        for text in texts:
-            data = text.encode()
-            lowered = data.lower()
-            split.append((data if any(s in lowered for s in self.special) else lowered).split())
-        new = set().union(*split) - known.keys()
-        if len(known) + len(new) > self.MAX_WORDS:
-            known.clear()
-            new = set().union(*split)
-        marked = {w for w in new if w[-1] in self.MARKS and w[:-1].isalnum()}
-        parts = (new - marked) | {w[:-1] for w in marked} | {w[-1:] for w in marked}
-        self._learn([w for w in parts if w not in known])
-        for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1:]]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        flat, lengths = self.encode_flat(texts)
+        ends = np.append(0, np.cumsum(lengths)).tolist()
+        return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts back to back, and how many each has."""
+        rows = pa.array(texts, pa.large_string())
+        lowered = pc.ascii_lower(rows)
+        cased = np.zeros(len(texts), bool)
+        for special in self.special:
+            cased |= pc.match_substring(lowered, special).to_numpy(zero_copy_only=False)
+        if cased.any():
+            lowered = pc.if_else(pa.array(cased), rows, lowered)
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > self.MAX_WORDS:
+            self._make_room(len(new))
+            new = [w for w in words if w not in self.number]
+        if new:
+            self._learn(new)
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.runs[numbers] += 1
+        starts = np.cumsum(self.size) - self.size
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        size = self.size[numbers][codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(starts[numbers][codes] - ends[:-1], size) + np.arange(ends[-1])]
+        return flat, np.diff(ends[np.asarray(split.offsets)])
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -188,14 +255,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             for i, j in row_runs(list(map(len, texts)), 4_000_000):
                 if encoder is None:
                     encoder = per_process(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
-                    end = np.array([end_id], encoder.type).tobytes()
                     system, path, name = new_file(folder, "ids", ".bin")
                     out = system.open_output_stream(path)
-                encoded = encoder.encode(texts[i:j])
-                lengths = np.array([len(e) // len(end) + 1 for e in encoded], np.int64)
-                ends.append(total + np.cumsum(lengths))
-                out.write(end.join([*encoded, b""]))
-                total += int(lengths.sum())
+                flat, lengths = encoder.encode_flat(texts[i:j])
+                stops = np.cumsum(lengths)
+                out.write(np.insert(flat, stops, encoder.type.type(end_id)).tobytes())
+                ends.append(total + stops + np.arange(1, j - i + 1))
+                total += len(flat) + j - i
                 without_key += sum(k is None for k in ids[i:j])
                 keys += [k for k in ids[i:j] if k is not None]
         if out is None:
