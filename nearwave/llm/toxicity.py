@@ -275,9 +275,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_char
     rated = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(
         F.col("doc_id").alias("rated"), F.col("toxic").alias("y"), F.xxhash64("doc_id").alias("h")
     )
-    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "rated")) - 1
-    nth = F.floor(place / F.when(F.col("y") == 1, 1).otherwise(CLEAN_FOR_EACH))
-    chosen = rated.withColumn("nth", nth).filter(F.col("nth") < sample)
+    parts = []
+    for y, each in ((1, 1), (0, CLEAN_FOR_EACH)):
+        first = rated.filter(F.col("y") == y).orderBy("h", "rated").limit(sample * each)
+        place = F.row_number().over(Window.orderBy("h", "rated")) - 1  # of the bounded rows
+        parts.append(first.withColumn("nth", F.floor(place / each)))
+    chosen = parts[0].unionAll(parts[1])
     rows = (
         docs.filter("text IS NOT NULL")
         .select(F.col("doc_id").alias("_rated"), "text")
