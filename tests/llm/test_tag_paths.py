@@ -1,9 +1,12 @@
 import html
 import random
+import time
+import tracemalloc
+from html.parser import HTMLParser
 
 import pytest
 
-from nearwave.llm.tag_paths import main_text, main_texts
+from nearwave.llm.tag_paths import _MARKS, main_text, main_texts, parse, path_sums
 from tests.llm.odd_texts import ODD_TEXTS
 
 ARTICLE = [
@@ -40,18 +43,18 @@ LAYOUTS = {
 
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_layouts(layout):
-    assert main_text(LAYOUTS[layout]) == "\n".join(ARTICLE)
+    assert main_text(LAYOUTS[layout]) == "\n\n".join(ARTICLE)
 
 
 def test_blocks_and_space():
     page = "<article><p> a\n\t b&nbsp;c &lt;d&gt; <i>e</i>f<br>g</p>tail &amp; end<ul><li>one, two<li>three</ul></article>"
-    assert main_text(page) == "a b c <d> ef g\ntail & end\none, two\nthree"
+    assert main_text(page) == "a b c <d> ef g\n\ntail & end\n\none, two\n\nthree"
 
 
 def test_long_articles_are_whole():
     lines = [f"Sentence number {i}, which is here." for i in range(5000)]
     page = f"{NAV}<article>{''.join(f'<p>{x}</p>' for x in lines)}</article>"
-    assert main_text(page) == "\n".join(lines)
+    assert main_text(page) == "\n\n".join(lines)
 
 
 def test_broken_pages_end():
@@ -68,7 +71,7 @@ def test_query(spark):
     pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").selectExpr("*", "1 AS text", "2 AS n_chars")
     found = {r.page_id: r for r in main_texts(pages).collect()}
     assert found[0].text == "" and found[1].text == "" and found[3].text == "one"
-    assert found[50].text == found[None].text == "\n".join(ARTICLE)
+    assert found[50].text == found[None].text == "\n\n".join(ARTICLE)
     assert all(r.n_chars == len(r.text) for r in found.values())
     assert main_texts(pages.limit(0)).count() == 0
 
@@ -88,4 +91,92 @@ UNDECLARED = {
 @pytest.mark.parametrize("kind", UNDECLARED)
 def test_heading_lead_and_end_outside_the_body(kind):
     page = f"<body>{NAV}{UNDECLARED[kind]}{FOOTER}</body>"
-    assert main_text(page) == "\n".join([ARTICLE[0], LEAD, *BODY_TEXT, LAST])
+    assert main_text(page) == "\n\n".join([ARTICLE[0], LEAD, *BODY_TEXT, LAST])
+
+
+NAMED = {
+    "container named after its sidebar": f"<body>{NAV}<div class='content with-sidebar'><article>{TITLE}{BODY}</article><div class=sidebar><p>Tags</p></div></div>",
+    "page named after its header": f"<body><div id='page' class='hfeed site has-header-image'>{NAV}<article>{TITLE}{BODY}</article>{FOOTER}</div>",
+    "page in a form": f"<body><form action=/>{NAV}<div id=content>{TITLE}{BODY}</div>{FOOTER}</form>",
+    "post header": f"<article><div class='post-header'>{TITLE}</div>{BODY}</article>",
+    "menu in main": f"<main><ul><li><a href=/>Home</a><li><a href=/a>About us</a><li><a href=/b>Terms</a></ul>{TITLE}{BODY}</main>",
+    "comments longer than the article": f"<body><div id=content>{TITLE}{BODY}</div><div id=comments>{'<p>I disagree, strongly, with all of it. Really.</p>' * 200}</div>",
+}
+
+
+@pytest.mark.parametrize("kind", NAMED)
+def test_names_are_weighed(kind):
+    assert main_text(NAMED[kind]) == "\n\n".join([ARTICLE[0], *BODY_TEXT])
+
+
+@pytest.mark.parametrize("attrs", ["id='social-policy'", "class='social-care'", "class='related-work'"])
+def test_prose_with_a_doubtful_name(attrs):
+    section = "It is about care, and about policy; which is what the name says. It is prose."
+    page = f"<article>{TITLE}{BODY}<section {attrs}><p>{section}</p></section></article>"
+    assert main_text(page) == "\n\n".join([ARTICLE[0], *BODY_TEXT, section])
+    links = "<a href=/x>One</a> <a href=/y>Two</a>"
+    assert main_text(f"<article>{TITLE}{BODY}<div {attrs}><p>{links}</p></div></article>") == "\n\n".join([ARTICLE[0], *BODY_TEXT])
+
+
+class PlainPaths(HTMLParser):
+    """Sums per path of well-formed pages, by another parser and a plain loop."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.path, self.links, self.sums = [], 0, {}
+
+    def handle_starttag(self, tag, attrs):
+        self.path.append(tag)
+        self.links += tag == "a"
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+        self.links -= tag == "a"
+
+    def handle_data(self, data):
+        text = " ".join(data.split())
+        if text:
+            key = "/".join(t for t in self.path if t != "a")
+            n, chars, marks, links = self.sums.get(key, (0, 0, 0, 0))
+            self.sums[key] = (n + 1, chars + len(text), marks + len(_MARKS.findall(text)), links + len(text) * (self.links > 0))
+
+
+def test_path_sums_against_a_plain_loop():
+    rng = random.Random(3)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            text = " ".join(rng.choices(["word,", "other.", "more", "end!"], k=rng.randint(1, 9)))
+            return f"<a href=/>{text}</a>" if rng.random() < 0.3 else text
+        tag = rng.choice(["div", "section", "ul", "blockquote"])
+        return "".join(f"<{tag}>{tree(depth - 1)}</{tag}>" for _ in range(rng.randint(1, 4)))
+
+    for _ in range(30):
+        page = f"<div>{tree(5)}</div>"
+        plain = PlainPaths()
+        plain.feed(page)
+        _, blocks = parse(page)
+        assert sorted(path_sums(blocks).values()) == sorted(plain.sums.values())
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 20_000 + "x" + "</i>" * 20_000,
+        "<div>" * 20_000 + "x, y.",
+        "<div>x, y." * 20_000,
+        "<a>" + "<div>" + "<b>" * 20_000 + "</a>" * 20_000,
+        "<b>" * 20_000 + "<div></div>" * 20_000,
+        "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000,
+        "<article><header>" * 10_000 + "<h1>x</h1>" * 10_000,
+    ],
+)
+def test_time_and_memory_grow_with_the_page(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 3
+    tracemalloc.start()
+    main_text(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
