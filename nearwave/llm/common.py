@@ -43,3 +43,15 @@ def per_process(name: str, make: Callable[[], object]) -> object:
 def full_text(name: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has as columns already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

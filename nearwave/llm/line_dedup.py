@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearwave.llm.common import unused_names
 from nearwave.workdir import new_folder
 
 MAX_RATIO = 0.05
@@ -62,7 +63,9 @@ def boilerplate_lines(
 def without_boilerplate(
     docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True
 ) -> DataFrame:
-    """``docs`` with the remaining text in ``text``, and ``_n_dropped``: the lines that went.
+    """``docs`` with the remaining text in ``text``, and ``_n_dropped`` last: the lines that went.
+
+    If ``docs`` has a column of that name, the new one has more underscores.
 
     Pages without a site form a site of their own.  A null text stays null and counts as a page
     without lines; an empty one stays empty.  Blank lines are never counted or dropped, a page
@@ -71,22 +74,23 @@ def without_boilerplate(
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "boilerplate")
+    own_site, boilerplate, left, n_dropped = unused_names(docs, "_site", "_boilerplate", "_kept", "_n_dropped")
     # Written, so that the planner knows its true size and broadcasts it only below Spark's limit.
     boilerplate_lines(docs, site, max_ratio, min_pages, copies).groupBy("site").agg(
-        F.collect_list(F.struct("h1", "h2")).alias("_boilerplate")
-    ).withColumnRenamed("site", "_site").write.parquet(folder)
+        F.collect_list(F.struct("h1", "h2")).alias(boilerplate)
+    ).withColumnRenamed("site", own_site).write.parquet(folder)
     by_site = spark.read.parquet(folder)
-    dropped = F.col("_boilerplate").isNotNull() & F.col("text").isNotNull()
-    marked = docs.join(by_site, F.col(f"`{site}`").eqNullSafe(F.col("_site")), "left")
+    dropped = F.col(boilerplate).isNotNull() & F.col("text").isNotNull()
+    marked = docs.join(by_site, F.col(f"`{site}`").eqNullSafe(F.col(own_site)), "left")
     kept = F.filter(
         _lines(F.col("text")),
-        lambda line: ~F.coalesce(F.array_contains(F.col("_boilerplate"), _line_key(line)), F.lit(False)),
+        lambda line: ~F.coalesce(F.array_contains(F.col(boilerplate), _line_key(line)), F.lit(False)),
     )
     return (
-        marked.withColumn("_kept", F.when(dropped, kept))
-        .withColumn("_n_dropped", F.coalesce(F.size(_lines(F.col("text"))) - F.size("_kept"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text")))
-        .drop("_site", "_boilerplate", "_kept")
+        marked.withColumn(left, F.when(dropped, kept))
+        .withColumn(n_dropped, F.coalesce(F.size(_lines(F.col("text"))) - F.size(left), F.lit(0)).cast("long"))
+        .withColumn("text", F.when(F.col(n_dropped) > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
+        .drop(own_site, boilerplate, left)
     )
 
 
@@ -108,5 +112,6 @@ def without_site_boilerplate(docs: DataFrame, site: str = "source", **limits: fl
     cleaned = without_boilerplate(docs, site, **limits)
     if "n_chars" in names:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, n).otherwise(F.col("n_chars")))
+        n_dropped = cleaned.columns[-1]
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(n_dropped) > 0, n).otherwise(F.col("n_chars")))
     return cleaned.select(*[F.col(f"`{c}`") for c in names])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from nearwave.llm.common import full_text
+from nearwave.llm.common import full_text, unused_names
 from nearwave.llm.components import components
 from nearwave.workdir import new_folder
 
@@ -177,17 +177,18 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = new_folder(spark, "fingerprints")
     # A row is found again by what it holds, so nothing depends on the order of reading.
-    marked = docs.withColumn("_row_hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    marked.select("doc_id", "_row_hash", fingerprint_of(full_text()).alias("fp")).write.parquet(f"{folder}/all")
+    row_hash, kept_id, kept_hash = unused_names(docs, "row_hash", "kept_id", "kept_hash")
+    marked = docs.withColumn(row_hash, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    marked.select("doc_id", F.col(row_hash).alias("hash"), fingerprint_of(full_text()).alias("fp")).write.parquet(f"{folder}/all")
     rows = spark.read.parquet(f"{folder}/all")
     first = (
         rows.join(near_groups(rows), "fp")
         .groupBy("component")
-        .agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "_row_hash")).alias("first"))
-        .select(F.col("first.doc_id").alias("_kept_id"), F.col("first._row_hash").alias("_kept_hash"))
+        .agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "hash")).alias("first"))
+        .select(F.col("first.doc_id").alias(kept_id), F.col("first.hash").alias(kept_hash))
     )
     return (
-        marked.join(first, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash")), "left_semi")
-        .dropDuplicates(["doc_id", "_row_hash"])
-        .drop("_row_hash")
+        marked.join(first, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(row_hash) == F.col(kept_hash)), "left_semi")
+        .dropDuplicates(["doc_id", row_hash])
+        .drop(row_hash)
     )

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from nearwave.llm.line_dedup import line_report, without_site_boilerplate
 from tests.llm.odd_texts import ODD_TEXTS
 
@@ -66,3 +68,12 @@ def test_pipeline_keeps_a_text_of_many_copies(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert len(got) == 150 and all(got[i] == copy for i in range(50))
     assert all(got[i] == text.removesuffix("\nfooter") for i, _, text in rows[50:])
+
+
+def test_clashing_names(docs_of):
+    docs = docs_of([f"Footer line\nown line {i}" for i in range(20)])
+    want = sorted(r.text for r in without_site_boilerplate(docs).collect())
+    assert want == sorted(f"own line {i}" for i in range(20))
+    for name in ("_site", "_kept", "_n_dropped", "_boilerplate", "site", "keys", "pages"):
+        rows = without_site_boilerplate(docs.withColumn(name, F.lit("mine"))).collect()
+        assert sorted(r.text for r in rows) == want and all(r[name] == "mine" for r in rows)

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from nearwave.llm.components import components
 from nearwave.llm.simhash_dedup import BLOCKS, fingerprint, keep_one_per_group, near_duplicates, near_links, spanning_links
 from tests.llm.odd_texts import ODD_TEXTS
@@ -114,3 +116,10 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a BIGINT, b BIGINT")
     found = {r.node: r.component for r in components(links).collect()}
     assert found == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+def test_clashing_names(docs_of):
+    docs = docs_of(["some text of a few words", "some text of a few words", "quite another text, of other words"])
+    for name in ("row_hash", "_row_hash", "kept_id", "_kept_id", "_kept_hash", "fp", "hash", "component"):
+        rows = keep_one_per_group(docs.withColumn(name, F.lit("mine"))).collect()
+        assert sorted(r.doc_id for r in rows) == [0, 2] and all(r[name] == "mine" for r in rows)
