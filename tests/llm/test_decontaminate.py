@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from nearwave.llm import decontaminate
 from nearwave.llm.decontaminate import contaminated, leaks, without_leaks
@@ -168,3 +169,70 @@ def test_inserted_and_deleted_words(docs_of, benchmark_of):
         docs[10 * i + 1] = " ".join(before + shorter + after)
     rows = sorted(tuple(r) for r in leaks(docs_of(list(docs.items())), benchmark_of(items)).collect())
     assert rows == sql_rows(docs, items) and len(rows) == len(docs)
+
+
+def _prints(spark, arrays):
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i INT, a ARRAY<BIGINT>")
+    return [r.p for r in rows.select("i", decontaminate.fingerprint(F.col("a")).alias("p")).orderBy("i").collect()]
+
+
+def _apart(a, b):
+    return sum((x ^ y).bit_count() for x, y in zip(a, b))
+
+
+def test_fingerprint_against_a_loop(spark):
+    rng = random.Random(5)
+    arrays = [[rng.getrandbits(63) for _ in range(n)] for n in (1, 2, 7, 30)]
+    again = [
+        r.h for r in spark.createDataFrame([(a,) for a in arrays], "a ARRAY<BIGINT>").selectExpr("transform(a, x -> xxhash64(2, x)) h").collect()
+    ]
+    for found, one, two in zip(_prints(spark, arrays), arrays, again):
+        bits = [int(2 * sum(h >> b & 1 for h in hashes) > len(hashes)) for hashes in (one, two) for b in range(64)]
+        ends = decontaminate._block_ends()
+        assert found == [int("".join(map(str, bits[a:b])), 2) for a, b in zip(ends, ends[1:])]
+
+
+def test_pairs_within_the_radius_meet(spark):
+    rng = random.Random(6)
+    ends = decontaminate._block_ends()
+    widths = [b - a for a, b in zip(ends, ends[1:])]
+    item = [rng.getrandbits(w) for w in widths]
+    prints = spark.createDataFrame([(1, 20, item)], "item BIGINT, n INT, print ARRAY<INT>")
+    keys = {(r.block, r.value) for r in decontaminate._item_keys(prints).collect()}
+    places = [(j, b) for j, w in enumerate(widths) for b in range(w)]
+    for _ in range(500):
+        other = list(item)
+        for j, b in rng.sample(places, decontaminate.RADIUS):
+            other[j] ^= 1 << b
+        assert any((j, v) in keys for j, v in enumerate(other))
+
+
+def test_windows_at_the_limit_are_within_the_radius(spark):
+    """A ninth of the shingles lost is a similarity of 0.8: recall over items of 13 to 150 words."""
+    rng = random.Random(7)
+    pairs = []
+    for n_words in (13, 14, 22, 31, 39, 50, 59, 100, 150):
+        m = n_words - 4
+        for _ in range(60):
+            hashes = [rng.getrandbits(63) for _ in range(m)]
+            pairs.append((hashes, hashes[m // 9 :]))
+    prints = _prints(spark, [a for pair in pairs for a in pair])
+    met = [_apart(a, b) <= decontaminate.RADIUS for a, b in zip(prints[::2], prints[1::2])]
+    assert sum(met) >= 0.99 * len(met)
+
+
+def test_common_counts_repeats(spark):
+    rng = random.Random(8)
+    rows = [tuple(sorted(rng.choices(range(6), k=rng.randint(0, 12))) for _ in range(2)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a ARRAY<BIGINT>, b ARRAY<BIGINT>")
+    for r in df.select("a", "b", decontaminate._common(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r.n == sum((Counter(r.a) & Counter(r.b)).values())
+
+
+def test_clashing_names(docs_of, benchmark_of, corpus):
+    documents, items = corpus
+    docs = docs_of(documents)
+    kept = {r.doc_id for r in without_leaks(docs, benchmark_of(items)).collect()}
+    for name in ("leak_id", "leak_hash", "_leak_id", "text_hash", "content", "item", "print"):
+        found = without_leaks(docs.withColumn(name, F.lit("mine")), benchmark_of(items))
+        assert name in found.columns and {r.doc_id for r in found.filter(F.col(name) == "mine").collect()} == kept
