@@ -459,7 +459,9 @@ def knn_multi_k(spark, sf_dir):
 
 
 def pruning_by_k(spark, sf_dir):
-    return sweeps.pruning_by_k(spend_index(spark, sf_dir), _spend_queries(spark, sf_dir), P.KS)
+    return sweeps.pruning_by_k(
+        spend_index(spark, sf_dir), _spend_queries(spark, sf_dir), P.KS, series=spend(spark, sf_dir)
+    )
 
 
 def knn_multi_prefix(spark, sf_dir):

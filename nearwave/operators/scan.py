@@ -120,7 +120,7 @@ class Nearest:
         self.id, self.dist = ids[order], dist[order]
 
 
-def _row_steps(n_rows: int, width: int) -> Iterator[slice]:
+def row_steps(n_rows: int, width: int) -> Iterator[slice]:
     step = max(1, VALUES_PER_STEP // max(1, width))
     for start in range(0, n_rows, step):
         yield slice(start, min(n_rows, start + step))
@@ -156,7 +156,7 @@ def scan(
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             flat, offsets = flat_lists(batch.column(1))
-            for rows in _row_steps(len(ids), len(wanted)):
+            for rows in row_steps(len(ids), len(wanted)):
                 ends = offsets[rows.start : rows.stop + 1]
                 _compare(ids[rows], flat[ends[0] : ends[-1]], ends - ends[0], nearest, kept)
         for q in queries:

@@ -7,11 +7,13 @@ one more query of the same job.
 from __future__ import annotations
 
 from functools import reduce
+from math import inf
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwave.operators import ranges
+from nearwave.operators.pruning import Trial, pruning_counts
 from nearwave.operators.radius import (
     collect_radius,
     estimated_radius,
@@ -94,19 +96,44 @@ def knn_multi_k(index: BlockIndex, queries: DataFrame | list[Query], ks: list[in
     )
 
 
+class _Counts:
+    """Settings of a count and their labels, for one scan of the series."""
+
+    def __init__(self, schema: str):
+        self.schema = schema
+        self.labels: list[tuple] = []
+        self.trials: list[Trial] = []
+
+    def add(self, query: Query, index: BlockIndex | UnstoredIndex, radii: list[tuple[tuple, float]]) -> None:
+        """``radii``: labels, and the radius of each."""
+        rows = ranges.query_block_rows([query], index, {query.qid: inf})
+        first = len(self.labels)
+        self.labels += [(first + i, *label) for i, (label, _) in enumerate(radii)]
+        keyed = [(first + i, float(r)) for i, (_, r) in enumerate(radii)]
+        self.trials.append(Trial(index.t_len, index.v_len, rows, keyed))
+
+    def over(self, series: DataFrame) -> DataFrame:
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        labels = series.sparkSession.createDataFrame(self.labels, f"key BIGINT, {self.schema}")
+        counts = pruning_counts(series, self.trials)
+        return F.broadcast(labels).join(counts, "key", "left").select(*names, "n_range", "n_filtered").na.fill(0, ["n_range", "n_filtered"])
+
+
 @by_packs
-def pruning_by_k(index: BlockIndex, queries: DataFrame | list[Query], ks: list[int]) -> DataFrame:
-    """``(k, qid, radius, n_range, n_filtered)``: series left without and with block filter."""
+def pruning_by_k(
+    index: BlockIndex, queries: DataFrame | list[Query], ks: list[int], series: DataFrame | None = None
+) -> DataFrame:
+    """``(k, qid, radius, n_range, n_filtered)``: series left without and with block filter.
+
+    Without ``series`` they are put together from the index's blocks, which shuffles these.
+    """
     nearest = top_k(scan_pairs(scan(index.sample, queries, max(ks))), max(ks))
     dist = {(r.qid, r.rn): r.dist for r in nearest.filter(F.col("rn").isin(ks)).collect()}
-    each = _Labelled("k INT, qid BIGINT, radius DOUBLE")
-    radius = {}
-    for k in ks:
-        for q in queries:
-            r = dist.get((q.qid, k), float("inf"))
-            radius[each.add((k, q.qid, r), q.pos, q.q)] = r
-    rows = ranges.query_block_rows(each.queries, index, radius)
-    return each.restore(ranges.candidate_counts(index, rows)).na.fill(0, ["n_range", "n_filtered"])
+    counts = _Counts("k INT, qid BIGINT, radius DOUBLE")
+    for q in queries:
+        radii = {k: dist.get((q.qid, k), inf) for k in ks}
+        counts.add(q, index, [((k, q.qid, r), r) for k, r in radii.items()])
+    return counts.over(series if series is not None else index.series(0, max(int(q.pos.max()) for q in queries) // index.t_len))
 
 
 @by_packs
@@ -136,16 +163,17 @@ def radius_by_sample_size(
     folder = new_folder(series.sparkSession, "envelopes")
     envelope_sample(series, sample_fraction(max(sample_nums), total), seed).write.parquet(folder)
     largest = series.sparkSession.read.parquet(folder)
-    each = _Labelled("sample_num INT, qid BIGINT, radius DOUBLE")
-    radius = {}
+    radii: dict[int, list[tuple[tuple, float]]] = {q.qid: [] for q in queries}
     for n in sample_nums:
         sample = bernoulli_sample(largest, sample_fraction(n, total), seed)
         estimate = collect_radius(estimated_radius(sample, queries, sample_rank(k, n, total)))
         for q in queries:
-            r = estimate.get(q.qid, float("inf"))
-            radius[each.add((n, q.qid, r), q.pos, q.q)] = r
-    rows = ranges.query_block_rows(each.queries, index, radius)
-    return each.restore(ranges.candidate_counts(index, rows)).na.fill(0, ["n_range", "n_filtered"])
+            r = estimate.get(q.qid, inf)
+            radii[q.qid].append(((n, q.qid, r), r))
+    counts = _Counts("sample_num INT, qid BIGINT, radius DOUBLE")
+    for q in queries:
+        counts.add(q, index, radii[q.qid])
+    return counts.over(series)
 
 
 @by_packs
@@ -157,14 +185,12 @@ def pruning_by_block_lengths(
     uniform_len: int | None,
 ) -> DataFrame:
     """``(t_len, v_len, qid, n_range, n_filtered)`` for several block lengths at given radii."""
-    per_setting = []
+    counts = _Counts("t_len INT, v_len INT, qid BIGINT")
     for t_len, v_len in lengths:
         trial = UnstoredIndex(series, t_len, v_len, uniform_len)
-        counts = ranges.candidate_counts(trial, ranges.query_block_rows(queries, trial, radius))
-        per_setting.append(
-            counts.select(F.lit(t_len).alias("t_len"), F.lit(v_len).alias("v_len"), "qid", "n_range", "n_filtered")
-        )
-    return reduce(DataFrame.unionByName, per_setting)
+        for q in queries:
+            counts.add(q, trial, [((t_len, v_len, q.qid), radius[q.qid])])
+    return counts.over(series)
 
 
 @by_packs
