@@ -1,8 +1,11 @@
 """Boilerplate lines by how many pages of their site hold them.
 
-Lines are counted once per page and site.  A line that more than ``max_ratio`` of a site's
-pages hold, and at least ``min_pages`` of them, is boilerplate of that site and goes from its
-pages; elsewhere it stays.  Everything is DataFrame functions.
+Lines are counted once per page and site.  A line is boilerplate of a site, and goes from its
+pages, if the share of the site's pages that hold it surely exceeds ``max_ratio``: the count less ``CERTAINTY``
+times its square root (the one-sided 95 % bound of a count) must do so.  Elsewhere the line stays.
+It is one rule for sites of any size: few pages tell little about a share, so a line needs all of 3 pages, 4 of up to 14,
+5 of up to 26, 35 of 500, and hardly more than the ratio of many.  A line on one or two pages never
+goes: it cannot be told from a pair of near copies.  Everything is DataFrame functions.
 
 Lines are identified by two independent 64-bit hashes, so the counting shuffle carries no
 text.  A site with P pages of L lines on average has fewer than L / max_ratio boilerplate lines, however
@@ -18,7 +21,7 @@ from nearwave.llm.common import unused_names
 from nearwave.workdir import new_folder
 
 MAX_RATIO = 0.05
-MIN_PAGES = 10
+CERTAINTY = 1.645
 #: White space at the ends of a line that does not make it another line.
 LINE_BLANKS = " \t\v\f\r"
 
@@ -34,7 +37,7 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate_lines(
-    docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True
+    docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, copies: bool = True
 ) -> DataFrame:
     """(site, h1, h2, pages) of each boilerplate line; without ``copies`` equal texts of a site are one page."""
     keys = F.array_distinct(F.transform(_lines(F.col("text")), _line_key)).alias("keys")
@@ -50,18 +53,18 @@ def boilerplate_lines(
         .filter("key is not null")
         .groupBy("site", "key.h1", "key.h2")
         .agg(F.count("*").alias("pages"))
-        .filter(F.col("pages") >= min_pages)
+        .filter(F.col("pages") > 1)
     )
     return (
         counts.alias("c")
         .join(totals.alias("t"), F.expr("c.site <=> t.site"))
-        .filter(F.col("pages") > max_ratio * F.col("site_pages"))
+        .filter(F.col("pages") - F.lit(CERTAINTY) * F.sqrt("pages") > F.lit(float(max_ratio)) * F.col("site_pages"))
         .select("c.site", "h1", "h2", "pages")
     )
 
 
 def without_boilerplate(
-    docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True
+    docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO, copies: bool = True
 ) -> DataFrame:
     """``docs`` with the remaining text in ``text``, and ``_n_dropped`` last: the lines that went.
 
@@ -76,7 +79,7 @@ def without_boilerplate(
     folder = new_folder(spark, "boilerplate")
     own_site, boilerplate, left, n_dropped = unused_names(docs, "_site", "_boilerplate", "_kept", "_n_dropped")
     # Written, so that the planner knows its true size and broadcasts it only below Spark's limit.
-    boilerplate_lines(docs, site, max_ratio, min_pages, copies).groupBy("site").agg(
+    boilerplate_lines(docs, site, max_ratio, copies).groupBy("site").agg(
         F.collect_list(F.struct("h1", "h2")).alias(boilerplate)
     ).withColumnRenamed("site", own_site).write.parquet(folder)
     by_site = spark.read.parquet(folder)
@@ -94,10 +97,10 @@ def without_boilerplate(
     )
 
 
-def line_report(docs: DataFrame, site: str = "source", **limits: float) -> DataFrame:
+def line_report(docs: DataFrame, site: str = "source", **options: float) -> DataFrame:
     """Per row of ``docs``: doc_id, the site, n_lines before, n_dropped, and the remaining text."""
     narrow = docs.select("doc_id", F.col(site).alias("source"), "text")
-    return without_boilerplate(narrow, "source", **limits).select(
+    return without_boilerplate(narrow, "source", **options).select(
         "doc_id",
         "source",
         (F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long")).alias("n_lines_left"),
@@ -106,10 +109,10 @@ def line_report(docs: DataFrame, site: str = "source", **limits: float) -> DataF
     )
 
 
-def without_site_boilerplate(docs: DataFrame, site: str = "source", **limits: float) -> DataFrame:
+def without_site_boilerplate(docs: DataFrame, site: str = "source", **options: float) -> DataFrame:
     """``docs`` with boilerplate lines gone and ``n_chars`` (if there is one) counted anew."""
     names = docs.columns
-    cleaned = without_boilerplate(docs, site, **limits)
+    cleaned = without_boilerplate(docs, site, **options)
     if "n_chars" in names:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
         n_dropped = cleaned.columns[-1]

@@ -152,7 +152,7 @@ counts as (
   select source, b, count(distinct r) as pages from bare where b <> '' group by source, b),
 bad as (
   select c.source, b from counts c join totals t on c.source is not distinct from t.source
-  where pages >= 10 and pages > 0.05 * site_pages),
+  where pages - cast(1.645 as double) * sqrt(pages) > cast(0.05 as double) * site_pages),
 marked as (
   select bare.*, bad.b is not null as dropped
   from bare left join bad on bare.source is not distinct from bad.source and bare.b = bad.b),

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -10,12 +11,12 @@ from tests.llm.odd_texts import ODD_TEXTS
 BLANKS = " \t\v\f\r"
 
 
-def plain(rows, max_ratio=0.05, min_pages=10):
+def plain(rows, max_ratio=0.05, copies=True):
     pages, counts = Counter(), Counter()
-    for _, site, text in rows:
+    for site, text in [r[1:] for r in rows] if copies else {r[1:] for r in rows}:
         pages[site] += 1
         counts.update((site, line) for line in {x.strip(BLANKS) for x in (text or "").split("\n")} if line)
-    bad = {(s, line) for (s, line), n in counts.items() if n >= min_pages and n > max_ratio * pages[s]}
+    bad = {(s, line) for (s, line), n in counts.items() if n - 1.645 * math.sqrt(n) > max_ratio * pages[s]}
     out = []
     for doc_id, site, text in rows:
         lines = text.split("\n") if text is not None else []
@@ -51,6 +52,24 @@ def test_against_brute_force(spark):
     assert got[400].text == "" and got[300].text is None and any(r.n_dropped for r in got.values())
 
 
+def test_sites_of_every_size(spark):
+    """A footer on all pages goes from three pages on, a line on few of many pages stays."""
+    rows = []
+    for n in (1, 2, 3, 9, 14, 15, 26, 27):
+        for i in range(n):
+            lines = [f"own line {n} {i}", "footer"]
+            lines += ["on two"] * (i < 2) + ["on four"] * (i < 4) + ["on five"] * (i < 5)
+            rows.append((len(rows), f"site of {n}", "\n".join(lines)))
+    got = {r.doc_id: r for r in line_report(frame(spark, rows)).collect()}
+    assert all((got[i].text, got[i].n_dropped) == (text, n) for i, _, text, n in plain(rows))
+    left = {site: set(got[i].text.split("\n")[1:]) for i, site, _ in rows if rows[i - 1][1] != site}
+    assert left["site of 1"] == left["site of 2"] == {"footer", "on two", "on four", "on five"}
+    assert left["site of 3"] == {"on two"}  # the others are on all three pages
+    assert left["site of 9"] == left["site of 14"] == {"on two"}
+    assert left["site of 15"] == left["site of 26"] == {"on two", "on four"}
+    assert left["site of 27"] == {"on two", "on four", "on five"}
+
+
 def test_columns_stay(spark):
     docs = frame(spark, rows_for()).selectExpr("*", "length(text) AS n_chars", "1 AS site", "2 AS pages", "3 AS h1")
     cleaned = without_site_boilerplate(docs)

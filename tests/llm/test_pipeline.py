@@ -46,7 +46,7 @@ def test_quality_stage(stages):
 
 def test_line_stage(stages):
     (_, before), (_, after) = stages[1:3]
-    want = plain_lines([(r.doc_id, r.source, r.text) for r in before])
+    want = plain_lines([(r.doc_id, r.source, r.text) for r in before], copies=False)
     assert keys(after) == sorted((d is None, d or 0, t or "") for d, _, t, _ in want)
 
 
