@@ -70,3 +70,10 @@ def test_leaves_with_short_infinite_and_equal_series():
         d[i] = np.nan
         best = [j for j in np.lexsort((np.arange(500), d)) if not np.isnan(d[j])][:450]
         assert ids[query == i].tolist() == best and dist[query == i].tolist() == d[best].tolist()
+
+
+def test_null_id_is_an_error(spark, queries_of):
+    series = spark.createDataFrame([(1, [0.0, 1.0]), (None, [1.0, 2.0])], "id BIGINT, v ARRAY<DOUBLE>").coalesce(1)
+    queries = queries_of({i: ([0, 1], [float(i), 1.0]) for i in range(9)})
+    with pytest.raises(Exception, match="must not be null"):
+        search.knn_scan(series, queries, 1).collect()
