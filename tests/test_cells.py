@@ -77,3 +77,40 @@ def test_null_id_is_an_error(spark, queries_of):
     queries = queries_of({i: ([0, 1], [float(i), 1.0]) for i in range(9)})
     with pytest.raises(Exception, match="must not be null"):
         search.knn_scan(series, queries, 1).collect()
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_few_series_are_compared_directly(monkeypatch, few):
+    """Both ways give the same answers: ties, limits, own ids and series that are too short."""
+    monkeypatch.setattr(leaves, "FEW_ROWS", few)
+    stored = np.round(RNG.normal(size=(9, 600)) * 2)
+    stored[8, ::7] = np.nan
+    asked = np.round(RNG.normal(size=(9, 70)) * 2)
+    limits = np.where(np.arange(70) % 3, 5.0, np.inf)
+    rows = np.array([8, 0, 1, 2, 3, 4, 6, 7])
+    query, ids, dist = leaves.Leaves(np.arange(600)[::-1].copy(), stored).nearest(rows, asked[rows], 12, limits, np.arange(70))
+    for i in range(70):
+        d = np.abs(stored[rows] - asked[rows][:, [i]]).max(axis=0)
+        d[599 - i] = np.nan
+        found = sorted((x, 599 - j) for j, x in enumerate(d.tolist()) if x <= limits[i])[:12]
+        assert ids[query == i].tolist() == [j for _, j in found] and dist[query == i].tolist() == [x for x, _ in found]
+
+
+def test_chunk_reads_only_cells_that_reach_it(series_of, queries_of):
+    """Queries whose radius does not reach a chunk are not read for it; those that do are."""
+    values = {100 * c + i: 1000.0 * c + np.cumsum(RNG.normal(size=6)) for c in range(6) for i in range(60)}
+    queries = {i: ([0, 1, 2, 3, 4, 5], v) if i % 5 else ([2, 5], v[[2, 5]]) for i, v in values.items()}
+    asked = cells.with_radii(series_of(values), many.store_queries(queries_of(queries)), 3)
+    assert sorted(i for p in asked.packs() for i in p.column(0).to_pylist()) == sorted(queries)
+    for c in range(6):
+        own = {i: v for i, v in values.items() if i // 100 == c}
+        near = asked.near(many.Chunk(np.array(list(own)), np.concatenate(list(own.values())), np.arange(0, 361, 6)), 0)
+        read = {i for p in asked.packs(near) for i in p.column(0).to_pylist()}
+        assert set(own) <= read and len(read) < 0.7 * len(queries)
+
+
+def test_unequal_length_is_an_error_however_far_away(series_of, queries_of):
+    """Radii do not hide a query whose length is not that of the series."""
+    queries = {i: (list(range(6)), v) for i, v in VALUES.items()} | {1000: ([0, 1, 2], [1e9] * 3)}
+    with pytest.raises(Exception, match="differ in length"):
+        search.knn_by_id_table(series_of(VALUES), queries_of(queries), 3).collect()
