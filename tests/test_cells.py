@@ -109,6 +109,16 @@ def test_chunk_reads_only_cells_that_reach_it(series_of, queries_of):
         assert set(own) <= read and len(read) < 0.7 * len(queries)
 
 
+def test_index_search_of_a_later_run(spark, series_of, queries_of):
+    """Queries that begin in a later time block, through cells; answers are merged by query in one step."""
+    series = series_of(VALUES)
+    index = write_block_index(series, new_folder(spark, "cells-later"), 2, 2, sample_num=60)
+    queries = {i: ([3, 5], v[[3, 5]]) for i, v in VALUES.items()}
+    found = search.knn_index(index, queries_of(queries), 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+    assert answers(found) == nearest(VALUES, queries, 3)
+
+
 def test_unequal_length_is_an_error_however_far_away(series_of, queries_of):
     """Radii do not hide a query whose length is not that of the series."""
     queries = {i: (list(range(6)), v) for i, v in VALUES.items()} | {1000: ([0, 1, 2], [1e9] * 3)}
