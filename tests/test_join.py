@@ -70,3 +70,13 @@ def test_plan_has_no_cross_join(series, index):
     df = join.tile_join(series, as_queries(series), 3, index)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_chunks_do_not_depend_on_the_size_of_the_stored_sample(spark, series, monkeypatch):
+    """Few chunks would lay out the same series for many parts of the queries."""
+    few = write_block_index(series, new_folder(spark, "join-few"), 8, 4, sample_num=20)
+    seen, reached = [], join.n_bounds_reached
+    monkeypatch.setattr(join, "n_bounds_reached", lambda x, bounds: (seen.append(len(bounds)), reached(x, bounds))[1])
+    queries = {i: (list(range(20)), v) for i, v in VALUES.items()}
+    assert answers(join.knn_join(series, as_queries(series), 4, few)) == nearest(VALUES, queries, 4)
+    assert seen and min(seen) >= 3 * spark.sparkContext.defaultParallelism
